@@ -91,13 +91,13 @@ def hard_checks(df: DataFrame, row_id: str = "sample_id", numeric: Sequence[str]
     finite = F.lit(True)
     for c in numeric:
         finite = finite & is_finite(F.col(c))
-    marked = first_of_duplicates(df.select(row_id, *dict.fromkeys([*numeric])), list(keys) if keys is not None else duplicate_keys(), row_id, "_first")
+    marked = first_of_duplicates(df.select(row_id, *dict.fromkeys([*numeric])), list(keys) if keys is not None else duplicate_keys(), row_id, "first_copy")
     cd_ok = (F.col("Cd") > CD_RANGE[0]) & (F.col("Cd") < CD_RANGE[1]) & ~F.isnan("Cd")
     cl_ok = (F.abs("Cl") < CL_LIMIT) & ~F.isnan("Cl")
     rules = [("non_finite", ~finite, F.lit("non-finite value")),
              ("cd_range", ~F.coalesce(cd_ok, F.lit(False)), F.concat(F.lit("Cd="), F.format_string("%.4g", "Cd"), F.lit(" outside (0, 0.3)"))),
              ("cl_range", ~F.coalesce(cl_ok, F.lit(False)), F.concat(F.lit("|Cl|="), F.format_string("%.4g", F.abs("Cl")), F.lit(" >= 2.5"))),
-             ("duplicate", F.col("_first").isNotNull(), F.concat(F.lit("duplicate of sample "), F.col("_first").cast("string")))]
+             ("duplicate", F.col("first_copy").isNotNull(), F.concat(F.lit("duplicate of sample "), F.col("first_copy").cast("string")))]
     texts = ordered_reasons([(c, t) for _, c, t in rules])
     ids = ordered_reasons([(c, F.lit(i)) for i, c, _ in rules])
     return marked.select(row_id, (F.size(ids) == 0).alias("qa_pass"), F.concat_ws("; ", texts).alias("qa_reason"), ids.alias("rules"))
