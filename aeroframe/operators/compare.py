@@ -49,9 +49,8 @@ def case_verdicts(comparisons: DataFrame, tolerances: DataFrame | None = None) -
 
 def comparison_summary(stats: DataFrame, comparisons: DataFrame) -> DataFrame:
     """One row per case and reference; a case without references keeps one row."""
-    refs = comparisons.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("seq", "role", "label", "Cl_ref", "Cd_ref", "Cl_err_pct", "Cd_err_pct"))).alias("_refs"))
-    return stats.join(refs, "case_id", "left").withColumn("_r", F.explode_outer("_refs")).select(
-        *stats.columns, F.col("_r.role").alias("ref_role"), F.col("_r.label").alias("ref_label"), "_r.Cl_ref", "_r.Cd_ref", "_r.Cl_err_pct", "_r.Cd_err_pct")
+    refs = comparisons.select("case_id", F.col("role").alias("ref_role"), F.col("label").alias("ref_label"), "Cl_ref", "Cd_ref", "Cl_err_pct", "Cd_err_pct")
+    return stats.join(refs, "case_id", "left")
 
 
 def compare_curves(case_curves: DataFrame, reference_curves: DataFrame, key: str = "case_id", x: str = "x_c", value: str = "Cp") -> tuple[DataFrame, DataFrame]:

@@ -411,7 +411,7 @@ def envelope_warnings(spark, sf):
 @query("""
 WITH c AS (SELECT o_orderkey, (o_custkey % 20) - 2.0 AS a, o_totalprice * 10.0 AS re, length(o_orderpriority) / 100.0 + 0.05 AS t FROM orders)
 SELECT CASE WHEN a >= 10.0 THEN 'B' WHEN re < 1.0e6 THEN 'C' WHEN re >= 2.0e6 AND a <= 6.0 AND t BETWEEN 0.10 AND 0.18 THEN 'D' ELSE 'A' END AS regime, o_orderkey,
-  round(re * 1.5e-5, 8) AS u_inf, round(re * 1.5e-5 * cos(radians(a)), 8) AS ux, round(re * 1.5e-5 * sin(radians(a)), 8) AS uy, round(-sin(radians(a)), 6) AS lift_x,
+  round(re * 1.5e-5, 8) AS u_inf, round(re * 1.5e-5 * cos(radians(a)), 8) AS ux, round(re * 1.5e-5 * sin(radians(a)), 8) AS uy, round(-sin(radians(a)), 6) + 0.0 AS lift_x,
   round(cos(radians(a)), 6) AS lift_y, round(30.0 * 1.5e-5 / sqrt(0.5 * 1.225 * pow(re * 1.5e-5, 2) * (0.026 / pow(re, 1.0 / 7.0)) / 1.225), 8) AS first_height,
   round(0.37 / pow(re, 0.2), 6) AS delta99, round(log10(re), 6) AS log10_re FROM c
 """)
@@ -431,15 +431,15 @@ w AS (SELECT s_suppkey, family, CAST(a AS DOUBLE) AS alpha_deg, 0.11 * a + b / 2
       FROM s CROSS JOIN (SELECT -5.0 + 20.0 * i / 20 AS a FROM range(21) t(i))),
 p AS (SELECT *, exp(logcd) AS Cd, exp(logcd) * s AS Cd_std, Cl / exp(logcd) AS L_over_D FROM w)
 SELECT s_suppkey, family, round(alpha_deg, 6) AS alpha_deg, round(Cl, 9) AS Cl, round(Cl - 2 * Cl_std, 9) AS Cl_lo, round(Cl + 2 * Cl_std, 9) AS Cl_hi, round(Cd, 8) AS Cd,
-  round(exp(logcd - 2 * s), 8) AS Cd_lo, round(exp(logcd + 2 * s), 8) AS Cd_hi, round(L_over_D, 7) AS L_over_D, round(Cl - 1.96 * Cl_std, 9) AS Cl_lo95,
+  round(exp(logcd - 2 * s), 8) AS Cd_lo, round(exp(logcd + 2 * s), 8) AS Cd_hi, round(L_over_D, 10) AS L_over_D, round(Cl - 1.96 * Cl_std, 9) AS Cl_lo95,
   round(Cd * exp(1.96 * (Cd_std / Cd)), 8) AS Cd_hi95,
-  round(coalesce(abs(L_over_D) * sqrt(pow(Cl_std / nullif(Cl, 0), 2) + (Cd_std / Cd) * (Cd_std / Cd)), 0), 7) AS L_over_D_std FROM p
+  round(coalesce(abs(L_over_D) * sqrt(pow(Cl_std / nullif(Cl, 0), 2) + (Cd_std / Cd) * (Cd_std / Cd)), 0), 10) AS L_over_D_std FROM p
 """)
 def sweep_bands(spark, sf):
     out = bands.add_95_band(supplier_sweep(spark, sf))
     return out.select("s_suppkey", "family", r("alpha_deg").alias("alpha_deg"), r("Cl", 9).alias("Cl"), r("Cl_lo", 9).alias("Cl_lo"), r("Cl_hi", 9).alias("Cl_hi"), r("Cd", 8).alias("Cd"),
-                      r("Cd_lo", 8).alias("Cd_lo"), r("Cd_hi", 8).alias("Cd_hi"), r("L_over_D", 7).alias("L_over_D"), r("Cl_lo95", 9).alias("Cl_lo95"), r("Cd_hi95", 8).alias("Cd_hi95"),
-                      r("L_over_D_std", 7).alias("L_over_D_std"))
+                      r("Cd_lo", 8).alias("Cd_lo"), r("Cd_hi", 8).alias("Cd_hi"), r("L_over_D", 10).alias("L_over_D"), r("Cl_lo95", 9).alias("Cl_lo95"), r("Cd_hi95", 8).alias("Cd_hi95"),
+                      r("L_over_D_std", 10).alias("L_over_D_std"))
 
 
 def supplier_sweep(spark, sf):
