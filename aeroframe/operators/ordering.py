@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MAX_BUCKETS = 512
+MAX_BUCKETS = 16384
 HOT_KEYS = 256          # size bound of the broadcast side in `lookup_join`
 SALTS = 1024
 
