@@ -79,16 +79,16 @@ def bracket(points: DataFrame, knots: DataFrame, by: Sequence[str], q: str, x: s
     # one summary row per (by, cell): its first and last knot, carried to the neighbouring cells
     ends = both.groupBy(*by, "_b").agg(F.min_by("_knot", F.when(F.col("_knot").isNotNull(), F.col("_at"))).alias("_first"),
                                        F.max_by("_knot", F.when(F.col("_knot").isNotNull(), F.col("_at"))).alias("_last"))
-    cells = Window.partitionBy(*by).orderBy("_b")
-    carry = ends.select(*by, "_b",
-                        F.last("_last", True).over(cells.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-                        F.first("_first", True).over(cells.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    # looking ahead is looking back in reverse order: a frame that ends at the last row is quadratic
+    back = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*by, "_b", F.last("_last", True).over(back).alias("_before"), F.last("_first", True).over(ahead).alias("_after"))
     # a knot at the same place as a query sorts first, so it is the query's left neighbour
-    within = Window.partitionBy(*by, "_b").orderBy("_at", F.col("_knot").isNull())
+    up = Window.partitionBy(*by, "_b").orderBy("_at", F.col("_knot").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*by, "_b").orderBy(F.desc("_at"), F.col("_knot").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
     near = join_null_safe(both, carry, [*by, "_b"]).select(
-        *by, "_at", "_knot", "n",
-        F.coalesce(F.last("_knot", True).over(within.rowsBetween(Window.unboundedPreceding, 0)), F.col("_before")).alias("left"),
-        F.coalesce(F.first("_knot", True).over(within.rowsBetween(1, Window.unboundedFollowing)), F.col("_after")).alias("right"))
+        *by, "_at", "_knot", "n", F.coalesce(F.last("_knot", True).over(up), F.col("_before")).alias("left"),
+        F.coalesce(F.last("_knot", True).over(down), F.col("_after")).alias("right"))
     return near.filter(F.col("_knot").isNull()).select(*by, F.col("_at").alias(q), "n", "left", "right")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from aeroframe.functions.bands import covered_95
 from aeroframe.functions.grids import N_STATIONS, on_cosine_grid
 from aeroframe.functions.physics import dynamic_pressure, relative_error
-from aeroframe.operators.ordering import exact_quantiles, join_null_safe, spearman
+from aeroframe.operators.ordering import exact_quantiles, join_null_safe, spearman, value_splits
 from aeroframe.operators.resample import station_array
 
 # Gate limits on relative error, tail rule, and the separation window in x/c.
@@ -98,8 +98,9 @@ def regression_metrics(df: DataFrame, groups: Sequence[str], true: str, pred: st
         F.count(F.lit(1)).alias("n_test"), r_squared("t", "p").alias("R2"), F.sqrt(F.avg(error * error)).alias("RMSE"),
         F.avg(F.abs(error)).alias("MAE"), F.avg("rel").alias("rel_err_mean"),
         share(F.abs(F.col("mt") - F.col("mp")) <= 2 * F.col("s")).alias("coverage_2sigma"))
-    out = join_null_safe(base, exact_quantiles(rows, groups, "rel", {"rel_err_median": 0.5}), groups, "left")
-    return join_null_safe(out, spearman(rows, groups, "t", "p"), groups, "left")
+    cuts = value_splits(rows, ["rel", "t", "p"])
+    out = join_null_safe(base, exact_quantiles(rows, groups, "rel", {"rel_err_median": 0.5}, cuts["rel"]), groups, "left")
+    return join_null_safe(out, spearman(rows, groups, "t", "p", cuts=cuts), groups, "left")
 
 
 def sliced_metrics(df: DataFrame, base: Sequence[str], slice_by: str, true: str, pred: str, bar: float) -> DataFrame:
@@ -121,8 +122,9 @@ def error_criterion(df: DataFrame, groups: Sequence[str], true: str, integrated:
     groups = list(groups)
     rows = df.select(*groups, F.abs(F.col(integrated) - F.col(true)).alias("gap"), relative_error(F.col(true), F.col(integrated)).alias("rel"))
     base = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.avg("rel").alias("mean_rel"), share(F.col("rel") > TAIL_FACTOR * limit).alias("tail_fraction"))
-    out = join_null_safe(base, exact_quantiles(rows, groups, "rel", {"median_rel": 0.5, "p95_rel": 0.95}), groups)
-    out = join_null_safe(out, exact_quantiles(rows, groups, "gap", {"median_abs": 0.5}), groups)
+    cuts = value_splits(rows, ["rel", "gap"])
+    out = join_null_safe(base, exact_quantiles(rows, groups, "rel", {"median_rel": 0.5, "p95_rel": 0.95}, cuts["rel"]), groups)
+    out = join_null_safe(out, exact_quantiles(rows, groups, "gap", {"median_abs": 0.5}, cuts["gap"]), groups)
     return out.withColumn("passed", (F.col("median_rel") <= limit) & (F.col("tail_fraction") <= TAIL_FRACTION))
 
 
@@ -169,16 +171,18 @@ def family_summary(predictions: DataFrame, groups: Sequence[str]) -> DataFrame:
                                      share(covered_95("Cl")).alias("_c1"), share(covered_95("Cd")).alias("_c2"))
     base = base.withColumn("coverage_95", F.when(F.col("_c1").isNull(), F.col("_c2")).when(F.col("_c2").isNull(), F.col("_c1"))
                            .otherwise((F.col("_c1") + F.col("_c2")) / 2)).drop("_c1", "_c2")
-    out = join_null_safe(base, exact_quantiles(rows, groups, "dCl", {"median_abs_dCl": 0.5}), groups)
-    return join_null_safe(out, exact_quantiles(rows, groups, "dCd", {"median_dCd_pct": 0.5, "p90_dCd_pct": 0.9}), groups)
+    cuts = value_splits(rows, ["dCl", "dCd"])
+    out = join_null_safe(base, exact_quantiles(rows, groups, "dCl", {"median_abs_dCl": 0.5}, cuts["dCl"]), groups)
+    return join_null_safe(out, exact_quantiles(rows, groups, "dCd", {"median_dCd_pct": 0.5, "p90_dCd_pct": 0.9}, cuts["dCd"]), groups)
 
 
 def agreement_summary(deltas: DataFrame, groups: Sequence[str], dcl: str = "dCl", dcd: str = "dCd_pct") -> DataFrame:
     """Median and mean of absolute deltas, and the signed median of the drag delta, per reference source."""
     rows = deltas.select(*groups, F.abs(dcl).alias("a"), F.abs(dcd).alias("b"), F.col(dcd).alias("c"))
     base = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_abs_dCl"), F.avg("b").alias("mean_abs_dCd"))
+    cuts = value_splits(rows, ["a", "c"])
     for column, name in (("a", "median_abs_dCl"), ("c", "median_dCd")):
-        base = join_null_safe(base, exact_quantiles(rows, groups, column, {name: 0.5}), groups, "left")
+        base = join_null_safe(base, exact_quantiles(rows, groups, column, {name: 0.5}, cuts[column]), groups, "left")
     return base
 
 

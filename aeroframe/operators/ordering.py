@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 MAX_BUCKETS = 16384
 HOT_KEYS = 256          # size bound of the broadcast side in `lookup_join`
 SALTS = 1024
+CUT_SAMPLE = 0.1
 
 
 # --- joins that keep null keys and hot keys safe ---------------------------------------------------
@@ -74,14 +75,30 @@ def bucket_count(df: DataFrame) -> int:
     return max(2, min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def value_splits(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> dict[str, list[float]]:
+class Cuts(list):
+    """Sorted cut points; ``hot`` is true if some value may hold more than about two cells' share of rows.
+
+    Such a value fills several neighbouring quantiles, so it shows up as a repeated one.
+    """
+
+    hot: bool = False
+
+
+def value_splits(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> dict[str, Cuts]:
     """Cut points that split each numeric column into about equal shares: one pass, a bounded result.
 
     A group holding a third of the rows gets about a third of the cut points, whatever its value range.
+    Only the cut points come from a sample of rows, as in any range partitioning; every row is placed.
     """
     n = buckets or bucket_count(df)
-    found = df.approxQuantile(list(columns), [i / n for i in range(1, n)], 1.0 / (4 * n))
-    return {c: sorted({q for q in qs if math.isfinite(q)}) for c, qs in zip(columns, found)}
+    found = df.sample(CUT_SAMPLE, 7).approxQuantile(list(columns), [i / n for i in range(1, n)], 1.0 / (4 * n))
+    out = {}
+    for c, qs in zip(columns, found or [[] for _ in columns]):
+        finite = [q for q in qs if math.isfinite(q)]
+        cuts = Cuts(sorted(set(finite)))
+        cuts.hot = len(cuts) < len(qs)
+        out[c] = cuts
+    return out
 
 
 def add_bucket(df: DataFrame, value: str, cuts: Sequence[float], out: str = "_b") -> DataFrame:
@@ -106,31 +123,51 @@ def ordered_counts(df: DataFrame, groups: Sequence[str], value: str, cuts: Seque
     cuts = value_splits(present, [value])[value] if cuts is None else cuts
     counts = present.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
     cells = add_bucket(counts, value, cuts)
-    across = Window.partitionBy(*groups)
-    offsets = (cells.groupBy(*groups, "_b").agg(F.sum("n").alias("_cell"))
-               .select(*groups, "_b",
-                       (F.sum("_cell").over(across.orderBy("_b")) - F.col("_cell")).alias("_start"),
-                       F.sum("_cell").over(across).alias("total")))
+    offsets = _cell_starts(cells.groupBy(*groups, "_b").agg(F.sum("n").alias("_cell")), groups).drop("_cell")
     within = Window.partitionBy(*groups, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (join_null_safe(cells, offsets, [*groups, "_b"])
             .select(*groups, value, "n",
                     (F.col("_start") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("before"), "total"))
 
 
+def _cell_starts(cells: DataFrame, groups: Sequence[str], cell: str = "_b") -> DataFrame:
+    """Rows before each (group, cell) and the group's total; ``cells`` has a count ``_cell``."""
+    across = Window.partitionBy(*groups)
+    return cells.select(*groups, cell, "_cell", (F.sum("_cell").over(across.orderBy(cell)) - F.col("_cell")).alias("_start"), F.sum("_cell").over(across).alias("total"))
+
+
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: dict[str, float],
                     cuts: Sequence[float] | None = None) -> DataFrame:
-    """Linear-interpolated exact quantiles per group, named by the keys of ``probs``."""
-    counts = ordered_counts(df, groups, value, cuts)
+    """Linear-interpolated exact quantiles per group, named by the keys of ``probs``.
+
+    Cells are counted first (map-side combined); only rows of the few cells that hold a wanted position are
+    then ordered, and equal values among them are combined before the shuffle.
+    """
+    groups = list(groups)
+    present = df.select(*groups, value).filter(F.col(value).isNotNull())
+    cuts = value_splits(present, [value])[value] if cuts is None else cuts
+    celled = add_bucket(present, value, cuts)
+    starts = _cell_starts(celled.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_cell")), groups)
+    place = {name: F.lit(float(q)) * (F.col("total") - 1) for name, q in probs.items()}
+    ends = [f(p) for p in place.values() for f in (F.floor, F.ceil)]
+    wanted = None
+    for i in ends:
+        here = (F.col("_start") <= i) & (i < F.col("_start") + F.col("_cell"))
+        wanted = here if wanted is None else wanted | here
+    held = join_null_safe(celled, starts.filter(wanted).drop("_cell"), [*groups, "_b"])
+    counts = held.groupBy(*groups, "_b", value).agg(F.count(F.lit(1)).alias("n"), F.first("_start").alias("_start"), F.first("total").alias("total"))
+    within = Window.partitionBy(*groups, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("before", F.col("_start") + F.coalesce(F.sum("n").over(within), F.lit(0)))
     aggs, outs = [], []
     for name, q in probs.items():
-        pos = F.lit(float(q)) * (F.col("total") - 1)
-        for side, index in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            held = (F.col("before") <= index) & (index < F.col("before") + F.col("n"))
-            aggs.append(F.max(F.when(held, F.col(value).cast("double"))).alias(f"_{name}_{side}"))
+        for side, f in (("lo", F.floor), ("hi", F.ceil)):
+            index = f(F.lit(float(q)) * (F.col("total") - 1))
+            here = (F.col("before") <= index) & (index < F.col("before") + F.col("n"))
+            aggs.append(F.max(F.when(here, F.col(value).cast("double"))).alias(f"_{name}_{side}"))
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        place = F.lit(float(q)) * (F.col("_total") - 1)
-        outs.append((lo + (hi - lo) * (place - F.floor(place))).alias(name))
-    return counts.groupBy(*groups).agg(*aggs, F.max("total").alias("_total")).select(*groups, *outs)
+        at = F.lit(float(q)) * (F.col("_total") - 1)
+        outs.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+    return placed.groupBy(*groups).agg(*aggs, F.max("total").alias("_total")).select(*groups, *outs)
 
 
 def average_ranks(df: DataFrame, groups: Sequence[str], value: str, out: str, cuts: Sequence[float] | None = None) -> DataFrame:
@@ -139,16 +176,37 @@ def average_ranks(df: DataFrame, groups: Sequence[str], value: str, out: str, cu
         *groups, value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(out), "n", "total")
 
 
-def spearman(df: DataFrame, groups: Sequence[str], a: str, b: str, out: str = "spearman") -> DataFrame:
-    """Rank correlation per group: null where either column is constant."""
+def rank_in_cells(rows: DataFrame, counted: DataFrame, groups: Sequence[str], value: str, cell: str, out: str) -> DataFrame:
+    """Adds the tie-averaged rank ``out`` and the group size ``total`` to every row.
+
+    For columns without hot values (see ``Cuts``): equal values share a cell, so a cell stays small.
+    ``counted`` is any table with the same (group, cell) rows: cells are counted there.
+    """
+    starts = _cell_starts(counted.groupBy(*groups, cell).agg(F.count(F.lit(1)).alias("_cell")), groups, cell).drop("_cell")
+    within = Window.partitionBy(*groups, cell).orderBy(value)
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*groups, cell, value))
+    return (join_null_safe(rows, starts, [*groups, cell])
+            .withColumn(out, F.col("_start") + F.rank().over(within) + (ties - 1) / 2.0).drop(cell, "_start"))
+
+
+def spearman(df: DataFrame, groups: Sequence[str], a: str, b: str, out: str = "spearman", cuts: dict[str, Cuts] | None = None) -> DataFrame:
+    """Rank correlation per group: null where either column is constant.
+
+    Without hot values rows are ranked in their cells.  With one, equal pairs are combined and ranks come
+    from the table of distinct values, joined so that a hot value is spread.
+    """
     groups = list(groups)
-    both = df.select(*groups, a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    cuts = value_splits(both, [a, b])
-    pairs = both.groupBy(*groups, a, b).agg(F.count(F.lit(1)).alias("_n"))
-    ranks_a = average_ranks(both, groups, a, "_ra", cuts[a])
-    ranks_b = average_ranks(both, groups, b, "_rb", cuts[b]).drop("total")
-    ranked = lookup_join(pairs, ranks_a, [*groups, a], "n")
-    ranked = lookup_join(ranked, ranks_b, [*groups, b], "n")
+    both = df.select(*groups, F.col(a).alias("_va"), F.col(b).alias("_vb")).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    cuts = cuts or value_splits(df, [a, b])
+    ca, cb = cuts[a], cuts[b]
+    if ca.hot or cb.hot:
+        pairs = both.groupBy(*groups, "_va", "_vb").agg(F.count(F.lit(1)).alias("_n"))
+        ranked = lookup_join(pairs, average_ranks(both, groups, "_va", "_ra", ca), [*groups, "_va"], "n")
+        ranked = lookup_join(ranked, average_ranks(both, groups, "_vb", "_rb", cb).drop("total"), [*groups, "_vb"], "n")
+    else:
+        celled = add_bucket(add_bucket(both, "_va", ca, "_ca"), "_vb", cb, "_cb")
+        ranked = rank_in_cells(celled.withColumn("_n", F.lit(1)), celled, groups, "_va", "_ca", "_ra").drop("total")
+        ranked = rank_in_cells(ranked, celled, groups, "_vb", "_cb", "_rb")
     mid = (F.col("total") + 1) / 2.0
     da, db, n = F.col("_ra") - mid, F.col("_rb") - mid, F.col("_n")
     return (ranked.groupBy(*groups)
