@@ -28,8 +28,9 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     """Join on ``keys`` where null matches null; the key columns of ``left`` are kept."""
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
     if not keys:
-        # both sides are whole-table aggregates of exactly one row
-        left, renamed, keys = left.withColumn("_one", F.lit(1)), renamed.withColumn("_r__one", F.lit(1)), ["_one"]
+        # both sides are whole-table aggregates of exactly one row: a key of 0 that is not folded away
+        zero = F.pmod(F.spark_partition_id(), F.lit(1))
+        left, renamed = left.withColumn("_one", zero), renamed.withColumn("_r__one", zero)
         return left.join(renamed, F.col("_one") == F.col("_r__one"), how).drop("_one", "_r__one")
     cond = None
     for k in keys:

@@ -95,8 +95,8 @@ def pick_samples(samples: DataFrame, ids: DataFrame | Sequence[int] | None) -> D
 
 def split_lists(spark: SparkSession, path: str) -> DataFrame:
     """Named id lists from JSON (name -> array of ids) to rows (name, ids)."""
-    lists = spark.read.schema("lists MAP<STRING, ARRAY<INT>>").option("multiLine", True).json(path)
-    return lists.select(F.explode("lists").alias("name", "ids"))
+    document = spark.read.option("wholetext", True).text(path)
+    return document.select(F.explode(F.from_json("value", "MAP<STRING, ARRAY<INT>>")).alias("name", "ids"))
 
 
 def latest_path(files: DataFrame, key: Column, time: Column, path: str = "path") -> DataFrame:
