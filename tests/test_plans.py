@@ -120,3 +120,25 @@ def test_rows_run_on_a_stream(spark, tmp_path):
     q = score_arriving(arriving(spark, src, schema), add_95_band, str(tmp_path / "out"), f"scores-{tmp_path.name}")
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).first().Cl_hi95 == pytest.approx(0.5 + 1.96 * 0.01)
+
+
+def test_task_from_split_to_scores(spark, sf):
+    from aeroframe.operators import modes, predict, splits
+    from aeroframe.plans import queries_models as qm
+    data = qm.part_dataset(spark, sf).withColumn("qa_pass", F.lit(True)).cache()
+    roles = splits.stratified_split(data.withColumn("s", F.floor("alpha_deg")), "s", "sample_id")
+    member = roles.select(F.lit("full").alias("task"), "role", "sample_id").cache()
+    curves = qm.part_curves(spark, sf, 21)
+    out = training.train_task(data, member, "full", ["gp"], waves=40)
+    test = splits.task_rows(data, member, "full", "test")
+    m = {r.target: r for r in training.coefficient_metrics(training.score_cases(test, out["models"], "full")).collect()}
+    assert m["Cl"].R2 > 0.9 and m["Cd"].R2 > 0.9 and m["Cl"].n_test == test.count()
+    fitted = training.train_curves(splits.task_rows(data, member, "full", "train"), modes.curve_vectors(curves), ["Cp", "Cf"], n_modes=4, waves=40)
+    scores = {r.quantity: r for r in training.evaluate_curves(test, curves, fitted, "full", "gp").collect()}
+    assert scores["Cp"].R2_flat > 0.9 and scores["Cf"].separation_detect_accuracy > 0.9 and scores["Cp"].suction_peak_MAE < 0.2
+    with pytest.raises(ValueError):
+        splits.task_rows(data.withColumn("qa_pass", F.col("sample_id") > 5), member, "full", "train")
+    near = predict.nearby_rows(data.select("sample_id", "Re", "t_max", "m_max"), spark.createDataFrame([(2.6e6, 0.12, 0.01)], "q_Re double, q_t_max double, q_m_max double"), 400_000.0)
+    p = data.toPandas()
+    want = p[(abs(p.Re - 2.6e6) <= 0.08 * 2.6e6) & (abs(p.t_max - 0.12) <= 0.01) & (abs(p.m_max - 0.01) <= 0.01)]
+    assert sorted(r.sample_id for r in near.collect()) == sorted(want.sample_id)

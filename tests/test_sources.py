@@ -212,3 +212,31 @@ def test_hard_checks_with_missing_numbers(spark):
     assert got[1].rules == ["non_finite", "cd_range", "duplicate"] and got[2].rules == ["cl_range", "duplicate"] and got[3].rules == ["cd_range"]
     assert got[4].rules == ["non_finite", "cl_range"] and "duplicate of sample 0" in got[1].qa_reason
     assert not quality.failure_gate(quality.hard_checks(df)).first().ok
+
+
+def test_published_tables(spark, tmp_path):
+    from aeroframe.sources import references
+    body = 'variables="alpha, deg","cl","cd"\nzone, t="80 grit"\n-4.0 -0.43 0.0087\n0 0 0.008\nzone, t="120 grit"\n0 0.01 0.0081\n'
+    ls = lines.read_lines(spark, write(tmp_path / "f.dat", body))
+    f = references.force_reference(ls, "ladson_forces")
+    assert f.count() == 2 and f.first().source.endswith("(80 grit)") and references.force_reference(ls, "ladson_forces", all_zones=True).count() == 3
+    lift = references.force_reference(ls, "abbott_lift")
+    both = references.all_references(f, lift)
+    assert both.count() == 5 and both.filter("Cd is null").count() == 3
+    loop = references.loop_pressure_reference(lines.read_lines(spark, write(tmp_path / "c.dat", "1 0.0 0.2\n0 0.1 -2\n1 -0.01 0.2\n")))
+    assert sorted(r.surface for r in loop.collect()) == ["lower", "upper", "upper"] and loop.first().alpha_deg == 13.87
+    cp = references.pressure_reference(lines.read_lines(spark, write(tmp_path / "p.dat", 'zone, t="alpha=0"\n0 1\nzone, t="alpha=10"\n0 0.5\n')), "s")
+    assert references.zone_at(cp, 10.2).count() == 1 and references.zone_at(cp, 5.0).count() == 2
+
+
+def test_reference_choice_and_polars(spark):
+    from aeroframe.sources import references
+    refs = spark.createDataFrame([("c1", 0, "experimental_primary", None, "e.dat", None), ("c1", 1, "cfd_reference", None, "f.dat", None), ("c1", 2, "engineering_reference", "xfoil", None, None),
+                                  ("c2", 0, "engineering_reference", "xfoil", None, "x.dat"), ("c2", 1, "cfd_reference", None, "f.dat", None), ("c3", 0, "other", None, "z.dat", None)],
+                                 "case_id string, seq int, role string, tool string, file_cp string, expected_file string")
+    assert {r.case_id: r.file for r in references.chosen_pressure_source(refs).collect()} == {"c1": "f.dat", "c2": "x.dat"}
+    asked = spark.createDataFrame([(1, "p", 4.03, "xfoil", None, None), (2, "p", 4.2, "xfoil", None, None), (3, "p", 4.0, "xfoil", 0.5, None), (4, None, 4.0, None, 0.1, 0.2)],
+                                  "id int, polar string, alpha_deg double, tool string, Cl double, Cd double")
+    polars = spark.createDataFrame([("p", 0, 4.0, 0.44, 0.007), ("p", 1, 4.05, 0.45, 0.008)], "polar string, seq int, alpha_deg double, Cl double, Cd double")
+    got = {r.id: (r.Cl, r.Cd) for r in references.fill_from_polars(asked, polars).collect()}
+    assert got == {1: (0.44, 0.007), 2: (None, None), 3: (0.5, None), 4: (0.1, 0.2)}
