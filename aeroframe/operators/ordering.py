@@ -53,8 +53,9 @@ def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight:
     cond = [rows[k].eqNullSafe(F.col(f"_h_{k}")) for k in keys]
     hot_side = F.broadcast(hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col("_v").alias("_hv")))
     first = rows.join(hot_side, _all(cond), "left").drop(*[f"_h_{k}" for k in keys])
-    spread = first.withColumn(
-        "_salt", F.when(F.col("_hv").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)) + 1).cast("int"))
+    # the salt repeats when a task is retried; the task number keeps equal rows of different tasks apart
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c, t in rows.dtypes if "map<" not in t], F.spark_partition_id()), F.lit(SALTS)) + 1
+    spread = first.withColumn("_salt", F.when(F.col("_hv").isNull(), F.lit(0)).otherwise(salt).cast("int"))
     cold = packed.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_v").alias("_cv"),
                          F.pmod("_w", F.lit(1)).cast("int").alias("_c_salt"))   # 0, but not foldable: stays a join key
     cond = [spread[k].eqNullSafe(F.col(f"_c_{k}")) for k in keys] + [F.col("_salt") == F.col("_c_salt")]

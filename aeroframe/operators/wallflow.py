@@ -51,7 +51,7 @@ def wall_gradients(nodes: DataFrame, triangles: DataFrame, wall: DataFrame) -> D
         # weight of corner i is the opposite side: (y_j - y_k) for d/dx, (x_k - x_j) for d/dy
         terms = [F.col(f"{u}{i}") * ((F.col(f"y{j}") - F.col(f"y{k}")) if axis == "x" else (F.col(f"x{k}") - F.col(f"x{j}")))
                  for i, j, k in turns]
-        return (terms[0] + terms[1] + terms[2]) / F.col("two_a")
+        return F.try_divide(terms[0] + terms[1] + terms[2], F.col("two_a"))      # a triangle without area has no gradient
 
     tri = tri.withColumn("two_a", two_a).select(
         "sample_id", "tri_id", (F.abs("two_a") / 2).alias("area"),
@@ -59,7 +59,7 @@ def wall_gradients(nodes: DataFrame, triangles: DataFrame, wall: DataFrame) -> D
     at_node = touching.select("sample_id", "tri_id", "node_id").join(tri, ["sample_id", "tri_id"])
     names = ("dux_dx", "dux_dy", "duy_dx", "duy_dy")
     return at_node.groupBy("sample_id", "node_id").agg(
-        *[(F.sum(F.col(g) * F.col("area")) / F.sum("area")).alias(g) for g in names])
+        *[F.try_divide(F.sum(F.col(g) * F.col("area")), F.sum("area")).alias(g) for g in names])
 
 
 def signed_area(loop: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeroframe.functions import text
-from aeroframe.operators.ordering import forward_fill, row_numbers, running_sum, top_rows
+from aeroframe.operators.ordering import forward_fill, lookup_join, row_numbers, running_sum, top_rows
 
 PLACE = ("block", "seq")
 
@@ -118,8 +118,8 @@ def surfaced_pressure_table(zones: DataFrame, constants: dict[str, object]) -> D
 def force_history(lines: DataFrame) -> DataFrame:
     """Rows of force histories: file, block, seq and up to six named columns, by the width of the first row."""
     rows = lines.withColumn("line", F.trim("line")).filter((F.col("line") != "") & ~F.col("line").startswith("#")).withColumn("_v", text.numbers(F.col("line")))
-    width = rows.groupBy("file").agg(F.min_by(F.least(F.size("_v"), F.lit(len(FORCE_COLUMNS))), _place()).alias("_width"))
-    wide = rows.join(width, "file")
+    width = rows.groupBy("file").agg(F.min_by(F.least(F.size("_v"), F.lit(len(FORCE_COLUMNS))), _place()).alias("_width"), F.count(F.lit(1)).alias("_n"))
+    wide = lookup_join(rows, width, ["file"], "_n")
     return wide.select("file", "block", "seq", *[F.when(F.col("_width") > i, F.get("_v", F.lit(i))).alias(c) for i, c in enumerate(FORCE_COLUMNS)])
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from aeroframe.operators.ordering import lookup_join
+
 SHARD_TOTAL = r"-of-(\d+)\.parquet$"
 
 
@@ -51,8 +53,9 @@ def group_starts(sizes: DataFrame, group: str, n: str, out: str = "start") -> Da
 def global_row_index(df: DataFrame, out: str = "sample_id", file: str = "_file", row: str = "_row") -> DataFrame:
     """Row number across name-sorted files: the file's start plus the row's own position in it."""
     sizes = df.groupBy(file).agg(F.count(F.lit(1)).alias("_n"))
-    starts = group_starts(sizes, file, "_n", "_start").drop("_n")
-    return df.join(starts, file).withColumn(out, F.col("_start") + F.col(row)).drop("_start", file, row)
+    # one row per file; the largest files are looked up by broadcast, so none of them becomes one task
+    starts = group_starts(sizes, file, "_n", "_start")
+    return lookup_join(df, starts, [file], "_n").withColumn(out, F.col("_start") + F.col(row)).drop("_start", file, row)
 
 
 def ragged_offsets(counts: DataFrame, key: str, n: str) -> DataFrame:

@@ -79,6 +79,8 @@ def test_hot_lookup_keeps_every_row(spark):
     got = ordering.lookup_join(rows, table, ["k"], "n")
     assert got.count() == 3000 and got.filter(F.col("first").isNull()).count() == 0
     assert {r.first for r in got.filter("k = 'hot'").select("first").distinct().collect()} == {1}
+    mapped = rows.withColumn("m", F.create_map(F.lit("a"), F.col("id")))
+    assert ordering.lookup_join(mapped, table, ["k"], "n").filter(F.col("first").isNull()).count() == 0
     dup = ordering.first_of_duplicates(rows, [F.col("k")], "id")
     assert dup.filter("first_id is not null").count() == 999 + 999
 
