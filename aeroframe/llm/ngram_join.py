@@ -27,9 +27,10 @@ def banding(similarity: float, recall: float, most_hashes: int = 128) -> tuple[i
     best = None
     for rows in range(1, most_hashes + 1):
         p = similarity ** rows
-        bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - p))
-        if bands * rows <= most_hashes:
-            best = (bands, rows)
+        bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-p))
+        if bands * rows > most_hashes:
+            break       # fewer hits a band ask for more bands: later rows need more hashes still
+        best = (bands, rows)
     if best is None:
         raise ValueError("no banding within the number of hashes")
     return best

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroframe.llm import mixing, ngram_join, quality_rules, sharding
+from aeroframe.llm import mixing, ngram_join, quality_rules, sharding, substring
 
 QUERIES, SQL = {}, {}
 
@@ -52,3 +52,9 @@ def op6_shuffle_shards(spark: SparkSession, sf: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf, "documents").select("doc_id", "text"))
     return out.select("doc_id", sharding.row_size(F.col("text")).alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
                       F.lit("key").alias("law"), "shard", "slot", sharding.shard_of(F.col("doc_id"), 17).cast("int").alias("grown_shard"))
+
+
+@query()
+def op7_remove_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents without the words of 35-word windows that occur more than once."""
+    return substring.remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")

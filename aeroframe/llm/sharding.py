@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from aeroframe.llm.text import shared_folder
 
@@ -44,14 +45,15 @@ def scatter(docs: DataFrame, path: str, shards: int = 16, key: str = "doc_id", t
      .write.partitionBy("s_shard").parquet(path))
 
 
-def read_shards(spark, path: str, schema) -> DataFrame:
-    """The written shards with ``shard`` and ``slot``; slots of a shard run from 0 without gaps."""
-    at = spark.read.parquet(path)
+def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The written shards, rows of ``schema``, with ``shard`` and ``slot``; slots of a shard run from 0 without gaps."""
+    own = [StructField("s_bucket", IntegerType()), StructField("s_place", IntegerType()), StructField("s_shard", IntegerType())]
+    at = spark.read.schema(StructType([*schema.fields, *own])).parquet(path)
     sizes = at.groupBy("s_shard", "s_bucket").agg(F.count(F.lit(1)).alias("s_n"))
     w = Window.partitionBy("s_shard").orderBy("s_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("s_shard", "s_bucket", F.coalesce(F.sum("s_n").over(w), F.lit(0)).alias("s_offset"))
     return (at.join(offsets, ["s_shard", "s_bucket"])
-            .select(*[F.col(c) for c in schema], F.col("s_shard").cast("int").alias("shard"), (F.col("s_offset") + F.col("s_place")).cast("long").alias("slot")))
+            .select(*[F.col(c) for c in schema.names], F.col("s_shard").cast("int").alias("shard"), (F.col("s_offset") + F.col("s_place")).cast("long").alias("slot")))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", seed: int = 41, bucket_bytes: int = 4 << 20, path: str | None = None) -> DataFrame:
@@ -62,4 +64,4 @@ def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text
     docs = docs.drop("shard", "slot")
     path = path or shared_folder(docs.sparkSession, "shards")
     scatter(docs, path, shards, key, text, seed, bucket_bytes)
-    return read_shards(docs.sparkSession, path, docs.columns)
+    return read_shards(docs.sparkSession, path, docs.schema)
