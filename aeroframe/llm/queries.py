@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroframe.llm import mixing, ngram_join, quality_rules, sharding, substring
+from aeroframe.llm import decontaminate, mixing, ngram_join, quality_rules, sharding, substring
 
 QUERIES, SQL = {}, {}
 
@@ -32,9 +32,9 @@ def op2_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Measures and the verdict of the cascade for every document."""
-    docs = quality_rules.judge(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = quality_rules.measure(table(spark, sf, "documents").select("doc_id", "text"))
     failed = quality_rules.base_failed(F.col("q_n_words"), F.col("q_n_repeat_words"))
-    return (quality_rules.features(docs).select(
+    return (docs.select(
         "doc_id", F.col("q_n_words").alias("n_words"), F.col("q_word_chars").alias("word_chars"), F.col("q_n_symbols").alias("n_symbols"),
         F.col("q_n_dup_lines").alias("n_dup_lines"), F.col("q_n_repeat_words").alias("n_repeat_words"), failed.alias("base_failed"),
         (~failed & F.col("rejected_by").isNull()).alias("kept")))
@@ -58,3 +58,10 @@ def op6_shuffle_shards(spark: SparkSession, sf: str) -> DataFrame:
 def op7_remove_repeats(spark: SparkSession, sf: str) -> DataFrame:
     """Documents without the words of 35-word windows that occur more than once."""
     return substring.remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query()
+def op8_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that contain a benchmark item, one row for each such pair."""
+    out = decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return out.select("doc_id", "item_id", "n_windows", "n_covered", "n_item", "changed")
