@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroframe.llm import decontaminate, mixing, ngram_join, quality_rules, sharding, substring
+from aeroframe.llm import decontaminate, html_text, mixing, ngram_join, private_spans, quality_model, quality_rules, sharding, substring, token_store
 
 QUERIES, SQL = {}, {}
 
@@ -32,9 +32,9 @@ def op2_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Measures and the verdict of the cascade for every document."""
-    docs = quality_rules.measure(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = quality_rules.judge(table(spark, sf, "documents").select("doc_id", "text"))
     failed = quality_rules.base_failed(F.col("q_n_words"), F.col("q_n_repeat_words"))
-    return (docs.select(
+    return (quality_rules.features(docs).select(
         "doc_id", F.col("q_n_words").alias("n_words"), F.col("q_word_chars").alias("word_chars"), F.col("q_n_symbols").alias("n_symbols"),
         F.col("q_n_dup_lines").alias("n_dup_lines"), F.col("q_n_repeat_words").alias("n_repeat_words"), failed.alias("base_failed"),
         (~failed & F.col("rejected_by").isNull()).alias("kept")))
@@ -65,3 +65,29 @@ def op8_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that contain a benchmark item, one row for each such pair."""
     out = decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return out.select("doc_id", "item_id", "n_windows", "n_covered", "n_item", "changed")
+
+
+@query()
+def op4_token_store(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as ids in raw files, read back through the perfect hash index."""
+    import public_tokenizers
+    out = token_store.token_digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query()
+def op1_extract_html(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf, "pages"))
+
+
+@query()
+def op9_private_data(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in every document."""
+    return private_spans.find_private(table(spark, sf, "documents"))
+
+
+@query()
+def op10_quality_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_model.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
