@@ -82,24 +82,27 @@ def base_failed(n: Column, repeated: Column) -> Column:
 
 
 def rules(text: str = "text", max_symbol_ratio: float = 0.1, max_duplicate_lines: float = 0.4, max_upper: float = 0.6,
-          max_shouts: float = 0.2, max_word_chars: float = 20.0, max_same_as_previous: float = 0.2) -> list[Rule]:
+          max_shouts: float = 0.2, max_word_chars: float = 20.0, max_same_as_previous: float = 0.2, measured: bool = False) -> list[Rule]:
     """The rules, over a text column and the words in ``q_words``; every limit is a share of words, lines or letters.
 
-    Each computes what it needs itself, so a rule that is not reached costs nothing."""
+    Each computes what it needs itself, so a rule that is not reached costs nothing. ``measured``: the columns of
+    ``features`` are there and are read instead."""
     t, w = F.coalesce(F.col(text), F.lit("")), F.col("q_words")
     n = F.size(w)
     letters = F.regexp_count(t, F.lit(r"\p{L}"))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(rf"[^\x20\x09-\x0D]"))
     repeats = F.aggregate(F.transform(w, lambda x, i: F.when(x == F.get(w, i - 1), 1).otherwise(0)), F.lit(0), lambda a, b: a + b)
+    chars, symbols, same_lines, same_windows = ((F.col(f"q_{c}") for c in ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) if measured
+                                                else (word_chars(w), n_symbols(t), n_duplicate_lines(t), n_repeated_words(w)))
     return [
         Rule("few_words", n < 50),
-        Rule("long_words", F.char_length(F.array_join(w, "")) > max_word_chars * n),
-        Rule("symbols", F.regexp_count(t, F.lit(r"[#*$%&|<>]")) > max_symbol_ratio * n),
+        Rule("long_words", chars > max_word_chars * n),
+        Rule("symbols", symbols > max_symbol_ratio * n),
         Rule("shouts", F.regexp_count(t, F.lit(r"!!")) > max_shouts * n),
         Rule("upper_case", F.regexp_count(t, F.lit(r"\p{Lu}")) > max_upper * letters),
-        Rule("duplicate_lines", n_duplicate_lines(t) > max_duplicate_lines * F.size(lines)),
+        Rule("duplicate_lines", same_lines > max_duplicate_lines * F.size(lines)),
         Rule("stutter", repeats > max_same_as_previous * n),
-        Rule("repeated_windows", 100 * n_repeated_words(w) > 50 * n),
+        Rule("repeated_windows", 100 * same_windows > 50 * n),
     ]
 
 
@@ -141,6 +144,13 @@ def judge(docs: DataFrame, text: str = "text", sample_rows: int = 2000) -> DataF
     return docs.withColumn("q_words", words(text)).withColumn("rejected_by", first_rejection(ordered)).drop("q_words")
 
 
+def measure(docs: DataFrame, text: str = "text", sample_rows: int = 2000) -> DataFrame:
+    """``features`` and the verdict in ``rejected_by``, each measure computed once; rows as in ``judge``."""
+    place = {r.name: r for r in rules(text, measured=True)}
+    ordered = [place[r.name] for r in cascade_order(docs, rules(text), sample_rows, text=text)]
+    return features(docs, text).withColumn("rejected_by", first_rejection(ordered))
+
+
 def keep(docs: DataFrame, text: str = "text", sample_rows: int = 2000) -> DataFrame:
     """The rows that no rule rejects, with the columns of ``docs``."""
     ordered = cascade_order(docs, rules(text), sample_rows, text=text)
