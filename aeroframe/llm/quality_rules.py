@@ -8,6 +8,7 @@ rule rejects never evaluates the later ones. The order changes the time only: a
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,11 @@ class Rule:
     rejects: Column
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def word_chars(w: Column) -> Column:
     return F.char_length(F.array_join(w, "")).cast("long")
 
@@ -58,10 +64,6 @@ def n_repeated_words(w: Column) -> Column:
         gaps = F.transform(starts, lambda x, k: F.when(k == 0, F.lit(3)).otherwise(F.least(F.lit(3), x - F.get(starts, k - 1))))
         return F.aggregate(gaps, F.lit(0), lambda total, x: total + x)
 
-    def let(value: Column, then) -> Column:
-        """``then`` of a value that is computed once."""
-        return F.get(F.transform(F.array(value), then), F.lit(0))
-
     found = let(F.sort_array(windows), lambda s: let(F.sort_array(F.transform(twice(s), lambda x: x["i"])), covered))
     return F.when(F.size(w) >= 4, found).otherwise(F.lit(0)).cast("long")
 
@@ -82,12 +84,13 @@ def base_failed(n: Column, repeated: Column) -> Column:
 
 
 def rules(text: str = "text", max_symbol_ratio: float = 0.1, max_duplicate_lines: float = 0.4, max_upper: float = 0.6,
-          max_shouts: float = 0.2, max_word_chars: float = 20.0, max_same_as_previous: float = 0.2, measured: bool = False) -> list[Rule]:
-    """The rules, over a text column and the words in ``q_words``; every limit is a share of words, lines or letters.
+          max_shouts: float = 0.2, max_word_chars: float = 20.0, max_same_as_previous: float = 0.2, measured: bool = False,
+          w: Column | None = None) -> list[Rule]:
+    """The rules, over a text column and its words ``w`` (the column ``q_words`` if none is given); every limit is a share of words, lines or letters.
 
     Each computes what it needs itself, so a rule that is not reached costs nothing. ``measured``: the columns of
     ``features`` are there and are read instead."""
-    t, w = F.coalesce(F.col(text), F.lit("")), F.col("q_words")
+    t, w = F.coalesce(F.col(text), F.lit("")), F.col("q_words") if w is None else w
     n = F.size(w)
     letters = F.regexp_count(t, F.lit(r"\p{L}"))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(rf"[^\x20\x09-\x0D]"))
@@ -152,6 +155,12 @@ def measure(docs: DataFrame, text: str = "text", sample_rows: int = 2000) -> Dat
 
 
 def keep(docs: DataFrame, text: str = "text", sample_rows: int = 2000) -> DataFrame:
-    """The rows that no rule rejects, with the columns of ``docs``."""
-    ordered = cascade_order(docs, rules(text), sample_rows, text=text)
-    return docs.withColumn("q_words", words(text)).filter(first_rejection(ordered).isNull()).select(*docs.columns)
+    """The rows that no rule rejects, with the columns of ``docs``.
+
+    The words are bound inside the condition: as a column they would be split anew wherever the pushed-down filter names them."""
+    order = [r.name for r in cascade_order(docs, rules(text), sample_rows, text=text)]
+
+    def rejected(w: Column) -> Column:
+        own = {r.name: r for r in rules(text, w=w)}
+        return first_rejection([own[name] for name in order]).isNotNull()
+    return docs.filter(~let(words(text), rejected))
