@@ -15,37 +15,70 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aeroframe.llm.text import flat, in_document, owner, small_batches, stored, tables, window_hashes, words
+from aeroframe.llm.text import in_document, owner, small_batches, stored, tables, window_hashes, words
 
 #: Unit words that a re-parameterised question may swap.
 UNITS = ("mm cm m km in ft yd mi g mg kg t lb oz s ms min h hr hrs ml l w kw v a hz khz mhz ghz kb mb gb tb usd eur gbp "
          "percent meters metres meter metre miles feet inches hours minutes seconds days weeks years grams kilograms pounds ounces "
          "liters litres gallons dollars euros cents degrees").split()
+UNIT_SET = frozenset(UNITS)
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 INK = r"[^\x20\x09-\x0D]"
 WORD = re.compile(rf"{INK}+")
 
 
-def template(text: Column) -> Column:
-    """The text with typed placeholders for words, as many words as before."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"{INK}*[0-9]{INK}*", NUM)
-    t = F.regexp_replace(t, rf"(?<!{INK})[^\p{{L}}<\x20\x09-\x0D]*\p{{Lu}}{INK}*", NAME)
-    t = F.regexp_replace(t, rf"(?<=\p{{L}})[.,;:!?)\"']+(?!{INK})", "")
-    return F.regexp_replace(t, rf"(?<!{INK})(?:{'|'.join(UNITS)})(?!{INK})", UNIT)
+PUNCTUATION = ".,;:!?)\"'"
+NUMBER = re.compile("[0-9]")
+
+
+def template_word(word: str) -> str:
+    """A typed placeholder, or the word without the punctuation at its end."""
+    if NUMBER.search(word):
+        return NUM
+    letter = next((c for c in word if c.isalpha()), "")
+    if letter.isupper():
+        return NAME
+    bare = word.rstrip(PUNCTUATION) if letter else word
+    return UNIT if bare in UNIT_SET else bare
+
 
+class Templates:
+    """64-bit hashes of template words of whole batches; keeps those of at most ``most`` different words for later batches."""
 
-def template_hashes(text: Column) -> Column:
-    return F.transform(words(template(text)), lambda w: F.xxhash64(w))
+    def __init__(self, most: int = 500_000):
+        self.most, self.known = most, {}
+
+    def hashes(self, texts: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        lists = pc.ascii_split_whitespace(texts)        # the six ASCII white-space characters, as the word pattern has them
+        flat_words, starts = lists.values, lists.offsets.to_numpy().astype(np.int64)
+        flat_words, starts = flat_words.slice(starts[0], starts[-1] - starts[0]), starts - starts[0]
+        coded = flat_words.dictionary_encode()
+        if len(self.known) > self.most:
+            self.known.clear()
+        own = np.empty(len(coded.dictionary), np.uint64)
+        for i, word in enumerate(coded.dictionary.to_pylist()):
+            h = self.known.get(word)
+            if h is None:
+                h = self.known[word] = xxhash.xxh64_intdigest(template_word(word).encode("utf-8", "surrogatepass"))
+            own[i] = h
+        keep = pc.not_equal(pc.binary_length(flat_words), 0).to_numpy(zero_copy_only=False)     # empty strings at the ends of a text
+        before = np.concatenate([[0], np.cumsum(keep)])
+        return own[coded.indices.to_numpy()][keep], before[starts]
 
 
 def _windows(width: int):
     """Benchmark: one row for each window; items of fewer words have one window of all words, marked by place -1."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        templates = Templates()
         for t in tables(batches):
-            hashes, starts = flat(t.column("w"))
+            hashes, starts = templates.hashes(t.column("body"))
             sizes = np.diff(starts)
             at = np.flatnonzero(in_document(starts, width))
             doc = owner(starts)[at]
@@ -71,9 +104,9 @@ def _bitmap(bits: int):
 def _hits(width: int, bits: int, known):
     """Documents: windows whose hash may be one of the benchmark's, with the words that stand there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(known.value, np.uint8)
+        table, templates = np.frombuffer(known.value, np.uint8), Templates()
         for t in tables(batches):
-            hashes, starts = flat(t.column("w"))
+            hashes, starts = templates.hashes(t.column("body"))
             sizes = np.diff(starts)
             at = np.flatnonzero(in_document(starts, width))
             h = window_hashes(hashes, width)[at]
@@ -117,11 +150,7 @@ def consistent(pairs: list[list[tuple[str, str]]], strict: list[bool]) -> list[b
 
 
 def _placeholder(word: str) -> bool:
-    v = word.lstrip("(\"'[")
-    return any(c.isdigit() for c in word) or v[:1].isupper() or _value(word) in UNIT_SET
-
-
-UNIT_SET = frozenset(UNITS)
+    return template_word(word) in (NUM, NAME, UNIT)
 
 
 def _decide(width: int, coverage: float):
@@ -180,7 +209,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, coverage
     small_batches(docs.sparkSession, 500)
     spark = docs.sparkSession
     items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("body")).distinct()
-    plain = items.select("item_id", template_hashes(F.col("body")).alias("w")).mapInArrow(_windows(width), "h long, item_id long, ipos int, n_item int")
+    plain = items.select("item_id", "body").mapInArrow(_windows(width), "h long, item_id long, ipos int, n_item int")
     known = stored(plain.join(items.withColumnRenamed("item_id", "i_id"), F.col("item_id").eqNullSafe(F.col("i_id")))
                    .withColumn("iwords", F.when(F.col("ipos") < 0, words("body")).otherwise(F.slice(words("body"), F.col("ipos") + 1, width)))
                    .select("h", "item_id", "ipos", "n_item", "iwords"), "bench-windows")
@@ -189,7 +218,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, coverage
     for r in known.select("h").coalesce(4).mapInArrow(_bitmap(bits), "bits binary").collect():
         table |= np.frombuffer(r["bits"], np.uint8)
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    hashed = named.select(F.monotonically_increasing_id().alias("row"), "doc_id", "body", F.unhex(F.sha2("body", 256)).alias("tk"), template_hashes(F.col("body")).alias("w"))
+    hashed = named.select(F.monotonically_increasing_id().alias("row"), "doc_id", "body", F.unhex(F.sha2("body", 256)).alias("tk"))
     hits = hashed.mapInArrow(_hits(width, bits, spark.sparkContext.broadcast(table.tobytes())), "h long, row long, doc_id long, tk binary, dpos int, dwords array<string>")
     pairs = hits.join(known, "h").withColumn("g", F.xxhash64("row", "item_id"))
     return (pairs.repartition("g").sortWithinPartitions("g", "row", "item_id")
