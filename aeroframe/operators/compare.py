@@ -91,13 +91,14 @@ def zone_mean(zones: DataFrame, zone: str, grid: Column, by: Sequence[str], at:
 def published_scores(scores: DataFrame, models: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Score arrays by model position to rows (task, model, score, component, value).
 
-    Each field of ``scores`` is an array over models, of numbers or of arrays of components.
+    Each field of ``scores`` is an array over models, of numbers or of arrays of components.  Places
+    beyond the list of models keep their rows, with a null model.
     """
     out = None
-    position = F.element_at(F.array(*[F.lit(m) for m in models]), F.col("_i") + 1)
+    position = F.get(F.array(*[F.lit(m) for m in models]), F.col("_i"))
     for f in fields:
         nested = scores.schema[f].dataType.elementType.typeName() == "array"
-        rows = scores.select("task", F.posexplode(f).alias("_i", "_v")).filter(F.col("_i") < len(models))
+        rows = scores.select("task", F.posexplode(f).alias("_i", "_v"))
         rows = rows.select("task", position.alias("model"), F.lit(f).alias("score"), F.posexplode(F.col("_v") if nested else F.array("_v")).alias("component", "value"))
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -93,15 +93,17 @@ def bracket(points: DataFrame, knots: DataFrame, by: Sequence[str], q: str, x: s
 
 
 def interpolate(points: DataFrame, knots: DataFrame, by: Sequence[str], q: str, x: str, values: Sequence[str]) -> DataFrame:
-    """Adds ``<value>_at`` columns: piecewise-linear in the knots of the same group, clamped at both ends."""
+    """Adds ``<value>_at`` columns: piecewise-linear in the knots of the same group, clamped at both ends.
+
+    A NaN query gives NaN; knots at NaN are no knots."""
     typed = points.withColumn(q, F.col(q).cast("double"))
-    b = bracket(typed, knots, by, q, x, values)
+    b = bracket(typed, knots.filter(~F.isnan(F.col(x).cast("double"))), by, q, x, values)
     lx, rx = F.col("left.x"), F.col("right.x")
     out = []
     for v in values:
         lv, rv = F.col(f"left.{v}"), F.col(f"right.{v}")
         between = lv + (rv - lv) / (rx - lx) * (F.col(q) - lx)
-        out.append(F.when(F.col("left").isNull(), rv).when(F.col("right").isNull(), lv).otherwise(between).alias(f"{v}_at"))
+        out.append(F.when(F.isnan(q), F.lit(float("nan"))).when(F.col("left").isNull(), rv).when(F.col("right").isNull(), lv).otherwise(between).alias(f"{v}_at"))
     return lookup_join(typed, b.select(*by, q, "n", *out), [*by, q], "n")
 
 

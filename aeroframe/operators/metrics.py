@@ -24,9 +24,10 @@ SEPARATION_WINDOW = (0.02, 0.98)
 
 
 def r_squared(true: str, pred: str) -> Column:
-    """1 - SSE/SST as an aggregate; null where the true values do not vary."""
+    """1 - SSE/SST as an aggregate; where the true values do not vary 1 for exact predictions, else 0."""
     error = F.col(true) - F.col(pred)
-    return 1 - F.try_divide(F.sum(error * error), F.var_pop(true) * F.count(true))
+    sse = F.sum(error * error)
+    return F.when(F.min(true) == F.max(true), (sse == 0).cast("double")).otherwise(1 - F.try_divide(sse, F.var_pop(true) * F.count(true)))
 
 
 def share(flag: Column) -> Column:

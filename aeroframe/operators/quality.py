@@ -133,14 +133,17 @@ def convergence(df: DataFrame, unvalidated: Sequence[str] = ()) -> DataFrame:
     """
     regime = F.col("regime")
     target = F.coalesce(F.nullif(F.col("y_plus_target"), F.lit(0.0)), _limit(regime, 3))
+
+    def beyond(c: str, i: int) -> Column:
+        return ~F.isnan(c) & (F.col(c) >= _limit(regime, i))       # NaN is beyond no limit
     reason = (F.when(F.coalesce("fatal", F.lit(False)), "fatal error in solver log")
               .when(F.col("n_iters").isNull(), "force history unreadable or missing")
               .when(F.col("n_iters") < _limit(regime, 0), "too few force rows")
-              .when(F.col("Cl_std") >= _limit(regime, 1), "lift not settled")
-              .when(F.col("Cd_std") >= _limit(regime, 2), "drag not settled")
+              .when(beyond("Cl_std", 1), "lift not settled")
+              .when(beyond("Cd_std", 2), "drag not settled")
               .when(F.col("y_plus_mean").isNull(), "y+ missing")
               .when(target.isNull(), "no y+ target for this regime")
-              .when(F.abs(F.col("y_plus_mean") - target) > 0.5 * target, "y+ outside half of its target")
+              .when(~F.isnan("y_plus_mean") & (F.abs(F.col("y_plus_mean") - target) > 0.5 * target), "y+ outside half of its target")
               .otherwise("converged"))
     done = df.withColumn("reason", reason).withColumn("converged", F.col("reason") == "converged")
     listed = regime.isin(*unvalidated) if unvalidated else F.lit(False)

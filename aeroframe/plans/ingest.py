@@ -1,4 +1,4 @@
-"""Mesh samples to the dataset, wall, surface and curve tables, walking the mesh once."""
+"""Mesh samples to the dataset, wall, surface and curve tables."""
 
 from __future__ import annotations
 
@@ -28,6 +28,8 @@ def wall_table(samples: DataFrame, nodes: DataFrame, triangles: DataFrame) -> tu
     """(wall, section frame, errors).  Only wall-sized tables are cut; the mesh is never copied."""
     loop, errors = topology.wall_loops(nodes, triangles, cut_lineage)
     loop = cut_lineage(loop)
+    seen = loop.select("sample_id").unionByName(errors.select("sample_id"))
+    errors = errors.unionByName(samples.select("sample_id").distinct().join(seen, "sample_id", "left_anti").select("sample_id", F.lit("no wall edges").alias("error")))
     frame = cut_lineage(section.section_frame(loop))
     stressed = wallflow.wall_stress(nodes, triangles, loop)
     placed = stressed.join(section.wall_frame(frame), ["sample_id", "pos"]).join(samples.select("sample_id", "u_inf"), "sample_id")
@@ -37,7 +39,7 @@ def wall_table(samples: DataFrame, nodes: DataFrame, triangles: DataFrame) -> tu
 
 
 def ingest(samples: DataFrame, nodes: DataFrame, triangles: DataFrame) -> Ingested:
-    """Everything read from one pass over the mesh.  Samples whose wall is refused appear in ``errors`` only.
+    """All tables of a set of meshes.  Samples without a wall, or whose wall is refused, appear in ``errors`` only.
 
     ``samples``: sample_id, alpha_rad, u_inf, cl, cd.
     """

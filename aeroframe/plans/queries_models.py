@@ -99,9 +99,11 @@ def predict_queries(spark, sf):
     """Sweeps asked by every supplier: bands, L/D and envelope warnings; a refused code keeps an error."""
     train = part_dataset(spark, sf)
     models, _ = training.train_coefficients(train, ["gp"], waves=WAVES)
-    rows = predict.feature_rows(supplier_queries(spark, sf)).filter(F.col("error").isNull())
-    out = predict.predict_queries(rows, {("full", "gp"): models["gp"]}, training.train_envelope(train, "full"))
-    return rounded(out.select("s_suppkey", "code", "alpha_deg", "Cl", "Cl_lo", "Cl_hi", "Cd", "L_over_D", "in_envelope", F.array_join("warning_ids", ",").alias("warning_ids")), 4)
+    rows = predict.feature_rows(supplier_queries(spark, sf))
+    out = predict.predict_queries(rows.filter(F.col("error").isNull()), {("full", "gp"): models["gp"]}, training.train_envelope(train, "full"))
+    answered = out.select("s_suppkey", "code", "alpha_deg", "Cl", "Cl_lo", "Cl_hi", "Cd", "L_over_D", "in_envelope", F.array_join("warning_ids", ",").alias("warning_ids"))
+    refused = rows.filter(F.col("error").isNotNull()).select("s_suppkey", "code", "alpha_deg", "error")
+    return rounded(answered.unionByName(refused, allowMissingColumns=True), 4)
 
 
 @query()
@@ -109,13 +111,15 @@ def predict_surfaces(spark, sf):
     """Suction peak and separation of the wall curves predicted for every supplier's sweep."""
     train = part_dataset(spark, sf)
     fitted = training.train_curves(train, modes.curve_vectors(part_curves(spark, sf)), n_modes=4, waves=WAVES)
-    rows = predict.feature_rows(supplier_queries(spark, sf)).filter(F.col("error").isNull())
+    asked = predict.feature_rows(supplier_queries(spark, sf))
+    rows = asked.filter(F.col("error").isNull())
     keys = ["s_suppkey", "alpha_deg"]
     long = None
     for q, (basis, model) in fitted.items():
         part = predict.predict_curves(rows, model, basis, q, keys)
         long = part if long is None else long.unionByName(part)
-    return rounded(predict.surface_summary(predict.surface_table(long, keys), keys), 4)
+    refused = asked.filter(F.col("error").isNotNull()).select(*keys, "error")
+    return rounded(predict.surface_summary(predict.surface_table(long, keys), keys).unionByName(refused, allowMissingColumns=True), 4)
 
 
 @query()

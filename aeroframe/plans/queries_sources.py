@@ -71,7 +71,7 @@ def final_residuals(spark, sf):
 @query(f"""
 WITH k AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY {MICROS_SQL} DESC, event_id DESC) AS n, count(*) OVER (PARTITION BY event_type) AS c FROM events)
 SELECT event_type, max(c) AS n_iters, count(*) AS n_window, round(avg(value), 6) AS value_mean, round(stddev_samp(value), 6) AS value_std,
-  CASE WHEN max(c) < 50 THEN 'too few rows; the solver likely diverged' END AS error FROM k WHERE n <= 200 GROUP BY event_type
+  CASE WHEN max(c) < 50 THEN 'too few force rows for a tail' END AS error FROM k WHERE n <= 200 GROUP BY event_type
 """)
 def tail_window_stats(spark, sf):
     e = table(spark, sf, "events").select("event_type", "event_id", "value", micros(F.col("ts")).alias("us"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aeroframe.functions import text
@@ -65,17 +65,23 @@ def read_zones(lines: DataFrame, strict: bool = True) -> DataFrame:
     """Numeric rows of zone-structured tables: file, block, seq, zone, values, bad.
 
     Comment, blank and ``variables`` lines are dropped.  A line before any zone belongs to 'default'
-    (strict) or '' (tolerant).  Tolerant reading skips lines that are not all numbers; strict reading keeps
+    (strict) or '' (tolerant).  A zone without a title gets 'zone' and the number of titles before it.  Tolerant reading skips lines that are not all numbers; strict reading keeps
     them with ``bad`` true, for ``refuse_bad``.
     """
     low = F.lower(F.trim("line"))
     kept = lines.withColumn("line", F.trim("line")).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
     is_zone = low.startswith("zone") if strict else F.col("line").rlike(r'(?i)^\s*zone\s*,\s*t\s*=\s*"[^"]*"')
-    title = (F.when(F.contains("line", F.lit("=")), F.regexp_replace(F.trim(F.regexp_extract("line", r"^[^=]*=(.*)$", 1)), '^"+|"+$', "")).otherwise(F.lit("zone")) if strict
+    title = (F.when(F.contains("line", F.lit("=")), F.regexp_replace(F.trim(F.regexp_extract("line", r"^[^=]*=(.*)$", 1)), '^"+|"+$', "")) if strict
              else F.regexp_extract("line", r'(?i)^\s*zone\s*,\s*t\s*=\s*"([^"]*)"', 1))
     is_names = low.startswith("variables") if strict else F.col("line").rlike(r"(?i)^\s*variables\s*=")
     marked = kept.filter(~is_names).withColumn("_zone", is_zone)
-    titled = forward_fill(marked, ["file"], "block", ["seq"], F.when(F.col("_zone"), title), "zone")
+    # only zone lines are numbered: few, whatever the length of a file
+    heads = marked.filter("_zone").withColumn("_title", title)
+    first = F.row_number().over(Window.partitionBy("file", "_title").orderBy("block", "seq")) == 1
+    so_far = F.sum((F.col("_title").isNull() | F.col("_first")).cast("int")).over(Window.partitionBy("file").orderBy("block", "seq").rowsBetween(Window.unboundedPreceding, -1))
+    named = heads.withColumn("_first", first).withColumn("_title", F.coalesce("_title", F.concat(F.lit("zone"), F.coalesce(so_far, F.lit(0)).cast("string")))).drop("_first")
+    every = marked.filter(~F.col("_zone")).withColumn("_title", F.lit(None).cast("string")).unionByName(named)
+    titled = forward_fill(every, ["file"], "block", ["seq"], F.col("_title"), "zone").drop("_title")
     rows = titled.filter(~F.col("_zone")).withColumn("zone", F.coalesce("zone", F.lit("default" if strict else ""))).withColumn("values", text.numbers(F.col("line")))
     rows = rows.withColumn("bad", ~text.all_numeric(F.col("values")))
     return (rows if strict else rows.filter(~F.col("bad"))).select("file", "block", "seq", "zone", "values", "bad")
@@ -133,7 +139,7 @@ def tail_stats(history: DataFrame, keys: Sequence[str] = ("file",), window: int
     sizes = history.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_iters"))
     tail = top_rows(history, keys, order, window, "_p").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_window"), *[f(c).alias(f"{c}_{s}") for c in values for s, f in (("mean", F.avg), ("std", F.stddev_samp))])
-    return sizes.join(tail, list(keys)).withColumn("error", F.when(F.col("n_iters") < least, F.lit("too few rows; the solver likely diverged")))
+    return sizes.join(tail, list(keys)).withColumn("error", F.when(F.col("n_iters") < least, F.lit("too few force rows for a tail")))
 
 
 def residual_steps(lines: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], is_mark: Column, field: Column, value: Column) -> DataFrame:

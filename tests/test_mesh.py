@@ -45,7 +45,7 @@ def test_refused_loops(spark):
          (2, 0, 1), (2, 1, 2), (2, 0, 2), (2, 5, 6), (2, 6, 7), (2, 5, 7)], "sample_id long, a long, b long")
     assert [r.sample_id for r in topology.degree_errors(edges).collect()] == [1]
     chained = topology.chain_loops(edges)
-    assert [(r.sample_id, r.error) for r in topology.loop_errors(chained).collect()] == [(2, "more than one closed boundary")]
+    assert [(r.sample_id, r.error) for r in topology.loop_errors(chained).collect()] == [(2, "the wall has more than one loop")]
 
 
 def test_linear_shear_is_exact(spark):
