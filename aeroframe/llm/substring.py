@@ -4,7 +4,7 @@ Pass one. Every 35-word window is represented by one of its k-word pieces, the o
 choose equal pieces, at equal offsets. Each task counts the places of its pieces in cells of a count-min sketch; the
 sketches of all tasks are merged by cell range. A cell's count is at least the number of starts of every window whose piece
 falls into it, so the sketch overestimates window counts and a window with a cell below two occurs once.
-Pass two. Only windows whose cells all reach two are grouped, by a 128-bit hash of all their words; those found twice are
+Pass two. Only windows whose cells all reach two are grouped, by a 96-bit hash of all their words; those found twice are
 repeated. Windows found twice within a task are known there and sent once.
 """
 
@@ -95,6 +95,9 @@ def sketch_bits(n_pieces: int, most_bits: int) -> int:
     return int(min(most_bits, max(SEGMENT_BITS, math.ceil(math.log2(max(1, n_pieces) * 4)))))
 
 
+NAMES = ["h1", "h2", "row", "pos", "more"]
+
+
 def _candidates(width: int, piece: int, depth: int, bits: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = [np.frombuffer(b, np.uint8) for b in sketch.value]
@@ -114,26 +117,30 @@ def _candidates(width: int, piece: int, depth: int, bits: int, sketch):
                 continue
             h1, h2 = window_hashes(hashes, width, 0x165667B19E3779F9)[at], window_hashes(hashes, width, 0x27D4EB2F165667C5)[at]
             order = np.lexsort((h2, h1))
-            h1, h2, at = h1[order], h2[order], at[order]
-            new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+            new = np.concatenate([[True], (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)])
             run_of = np.cumsum(new) - 1
-            many = np.bincount(run_of)[run_of] > 1
+            many, head = np.empty(len(order), bool), np.zeros(len(order), bool)
+            many[order] = np.bincount(run_of)[run_of] > 1
+            head[order[new]] = True
             doc = owner(starts)[at]
             row = t.column("row").to_numpy()[doc]
             pos = (at - starts[doc]).astype(np.int32)
-            head = new
-            # one row for each different window of the batch; the other places of a window found twice here are settled
-            yield pa.RecordBatch.from_arrays([pa.array(h1[head].view(np.int64)), pa.array(h2[head].view(np.int64)), pa.array(row[head]), pa.array(pos[head]), pa.array(many[head])], ["h1", "h2", "row", "pos", "many"])
-            rest = ~new
-            if rest.any():
-                # their own places as keys: each row is a key of its own
-                k1, k2 = mix(row[rest].astype(np.uint64)), mix(pos[rest].astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array((k1 ^ k2).view(np.int64)), pa.array(np.full(rest.sum(), -1)), pa.array(row[rest]), pa.array(pos[rest]), pa.array(many[rest])], ["h1", "h2", "row", "pos", "many"])
+            # one row for each different window of the batch, in text order; its place is negative if the batch has the window twice
+            n = int(head.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(h1[head].view(np.int64)), pa.array(h2[head].astype(np.uint32).view(np.int32)), pa.array(row[head]),
+                                              pa.array(np.where(many, -1 - pos, pos)[head]), pa.nulls(n, pa.list_(pa.int32()))], NAMES)
+            # the other places of such windows are settled: one row for each document, under a key of its own
+            if n < len(order):
+                rest = np.flatnonzero(~head)
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(row[rest])) + 1])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([cuts, [len(rest)]]).astype(np.int32)), pa.array(pos[rest]))
+                own = row[rest][cuts]
+                yield pa.RecordBatch.from_arrays([pa.array(mix(own.astype(np.uint64)).view(np.int64)), pa.nulls(len(own), pa.int32()), pa.array(own), pa.nulls(len(own), pa.int32()), lists], NAMES)
     return run
 
 
 def repeated_starts(numbered: DataFrame, width: int = 35, piece: int = 12, depth: int = 3, most_bits: int = 31) -> DataFrame:
-    """row, pos of every window of ``numbered`` (row, n_words, w) whose words also start anywhere else."""
+    """row and places (pos, or more than one in ``more``) of every window of ``numbered`` (row, n_words, w) whose words also start anywhere else."""
     spark = numbered.sparkSession
     n = numbered.agg(F.sum(F.greatest(F.lit(0), F.col("n_words") - width + 1).cast("long")).alias("n")).first()["n"] or 0
     bits = sketch_bits(math.ceil(2 * n / (width - piece + 2)), most_bits)
@@ -143,10 +150,10 @@ def repeated_starts(numbered: DataFrame, width: int = 35, piece: int = 12, depth
     sketch = [bytearray(size << (bits - SEGMENT_BITS)) for _ in range(depth)]
     for r in merged.collect():      # as large as the sketch, whose size most_bits bounds
         sketch[r["d"]][r["segment"] * size:(r["segment"] + 1) * size] = r["bits"]
-    found = numbered.select("row", "w").mapInArrow(_candidates(width, piece, depth, bits, spark.sparkContext.broadcast([bytes(s) for s in sketch])), "h1 long, h2 long, row long, pos int, many boolean")
+    found = numbered.select("row", "w").mapInArrow(_candidates(width, piece, depth, bits, spark.sparkContext.broadcast([bytes(s) for s in sketch])), "h1 long, h2 int, row long, pos int, more array<int>")
     # a window comes once from each batch at most, so no key has more rows than there are batches
     counted = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h1", "h2")))
-    return counted.filter((F.col("n") > 1) | F.col("many")).select("row", "pos")
+    return counted.filter((F.col("n") > 1) | (F.col("pos") < 0) | F.col("pos").isNull()).select("row", F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos")).alias("pos"), "more")
 
 
 def _cut(width: int):
@@ -183,7 +190,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text:
     numbered = stored(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), n_words(text).alias("n_words")).withColumn("row", F.monotonically_increasing_id()), "substring-rows")
     hashed = numbered.select("row", "n_words", word_hashes("text").alias("w"))
     starts = repeated_starts(hashed, width, piece, depth, most_bits)
-    at = starts.groupBy("row").agg(F.collect_list("pos").alias("at"))      # no more than the words of one document
+    at = (starts.groupBy("row").agg(F.collect_list("pos").alias("one"), F.collect_list("more").alias("more"))       # no more than the words of one document
+          .select("row", F.concat("one", F.flatten("more")).alias("at")))
     out = numbered.join(at, "row", "left").select("doc_id", words("text").alias("w"), "at")
     kind = docs.schema[key].dataType.simpleString()
     return out.mapInArrow(_cut(width), f"doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string")
