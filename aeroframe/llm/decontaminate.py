@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aeroframe.llm.text import in_document, owner, small_batches, stored, tables, window_hashes, words
+from aeroframe.llm.text import in_document, owner, small_batches, stored, tables, unused, window_hashes, words
 
 #: Unit words that a re-parameterised question may swap.
 UNITS = ("mm cm m km in ft yd mi g mg kg t lb oz s ms min h hr hrs ml l w kw v a hz khz mhz ghz kb mb gb tb usd eur gbp "
@@ -227,6 +227,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, coverage
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that contain no item of ``benchmark``, with the columns of ``docs``."""
-    bad = contaminated(docs, benchmark, key=key, text=text, **options).select(F.col("tk").alias("d_tk")).distinct()
-    named = docs.withColumn("d_tk", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
-    return named.join(bad, "d_tk", "left_anti").select(*docs.columns)
+    (name,) = unused(docs, "d_tk")
+    bad = contaminated(docs, benchmark, key=key, text=text, **options).select(F.col("tk").alias(name)).distinct()
+    named = docs.withColumn(name, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    return named.join(bad, name, "left_anti").select(*docs.columns)

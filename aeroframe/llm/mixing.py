@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aeroframe.llm.text import n_words, stored
+from aeroframe.llm.text import n_words, stored, unused
 
 #: Bits of the hash that one histogram resolves, and how many histograms cover 64 bits.
 BITS, LEVELS = 16, 4
@@ -54,13 +54,14 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
 
     ``rows``: s, h, size. Result: s, path (the whole hash that holds the end of the budget), rest (what is left for the rows
     with that hash), ties (their size). A source without a row there has a null path: all its rows are below."""
-    state = budgets.select("s", F.lit(0).cast("long").alias("path"), F.col("budget").cast("double").alias("rest"))
+    # states are written, so that Spark knows their size and broadcasts them only while they are small
+    state = stored(budgets.select("s", F.lit(0).cast("long").alias("path"), F.col("budget").cast("double").alias("rest")), "mix-state")
     for level in range(LEVELS):
-        inside = rows.join(F.broadcast(state.select("s", "path")), "s").filter(prefix(F.col("h"), level) == F.col("path"))
+        inside = rows.join(state.select("s", "path"), "s").filter(prefix(F.col("h"), level) == F.col("path"))
         sums = inside.groupBy("s", bucket(F.col("h"), level).alias("b")).agg(F.sum("size").alias("n"))
         w = Window.partitionBy("s").orderBy("b")
         run = sums.withColumn("upto", F.sum("n").over(w))
-        hit = (run.join(F.broadcast(state), "s").filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("n") <= F.col("rest")))
+        hit = (run.join(state, "s").filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("n") <= F.col("rest")))
                .select("s", (F.shiftleft("path", BITS) if level else F.lit(0).cast("long")).bitwiseOR(F.col("b").cast("long")).alias("path"),
                        (F.col("rest") - (F.col("upto") - F.col("n"))).alias("rest"), F.col("n").alias("ties")))
         state = stored(hit, f"mix-level{level}")
@@ -89,8 +90,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     keyed = rows.withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")))
     budgets = goal.select("s", (F.col("target") - F.col("whole") * F.col("size")).alias("budget"))
     at = thresholds(keyed.filter("size > 0").select("s", "h", "size"), budgets)
-    plan = goal.select("s", F.col("size").alias("source_size"), "target", "whole").join(at, "s", "left")
-    out = keyed.join(F.broadcast(plan), "s")
+    plan = stored(goal.select("s", F.col("size").alias("source_size"), "target", "whole").join(at, "s", "left"), "mix-plan")
+    out = keyed.join(plan, "s")
     below = unsigned(F.col("h")) < unsigned(F.col("path"))
     extra = (F.when(F.col("path").isNull(), F.col("size") * (F.col("target") > F.col("whole") * F.col("source_size")).cast("long"))
              .when(below, F.col("size")).when(F.col("h") == F.col("path"), F.floor(F.col("rest") * F.col("size") / F.col("ties")))
@@ -102,8 +103,9 @@ def repeat(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
     """The mix as rows of ``docs``: each as many times as it is taken, a part of half a document or more counting as one.
 
     Rows are matched by key and hash, so equal rows share one decision."""
+    m_key, m_h, m_times, m_own, m_copy = unused(docs, "m_key", "m_h", "m_times", "m_own", "m_copy")
     taken = mix(docs, weights, most, seed, source, text, key).filter("size > 0")
-    times = taken.select(F.col("doc_id").alias("m_key"), F.col("h").alias("m_h"), F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int").alias("m_times")).filter("m_times > 0").distinct()
-    named = docs.withColumn("m_h2", F.xxhash64(F.lit(seed), F.col(key), F.col(text)))
-    out = named.join(times, F.col(key).eqNullSafe(F.col("m_key")) & (F.col("m_h2") == F.col("m_h")))
-    return out.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_times")))).select(*docs.columns)
+    times = taken.select(F.col("doc_id").alias(m_key), F.col("h").alias(m_h), F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int").alias(m_times)).filter(F.col(m_times) > 0).distinct()
+    named = docs.withColumn(m_own, F.xxhash64(F.lit(seed), F.col(key), F.col(text)))
+    out = named.join(times, F.col(key).eqNullSafe(F.col(m_key)) & (F.col(m_own) == F.col(m_h)))
+    return out.withColumn(m_copy, F.explode(F.sequence(F.lit(1), F.col(m_times)))).select(*docs.columns)

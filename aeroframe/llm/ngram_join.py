@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aeroframe.llm.components import components
-from aeroframe.llm.text import flat, in_document, mix, owner, small_batches, stored, tables, window_hashes, word_hashes
+from aeroframe.llm.text import flat, in_document, mix, owner, small_batches, stored, tables, unused, window_hashes, word_hashes
 
 
 def banding(similarity: float, recall: float, most_hashes: int = 128) -> tuple[int, int]:
@@ -235,8 +235,9 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without near copies: of each class the row with the smallest key (null last), once."""
     classes = jaccard_classes(docs, key, text, **options)
+    n_dk, n_tk = unused(docs, "j_dk", "j_tk")
     dk = F.coalesce(F.col(key).cast("string"), F.lit("~"))
     first = (classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")).alias("k"))
-             .select(F.coalesce(F.col("k.doc_id").cast("string"), F.lit("~")).alias("j_dk"), F.col("k.tk").alias("j_tk")))
-    named = docs.withColumn("j_dk", dk).withColumn("j_tk", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
-    return named.join(first, ["j_dk", "j_tk"], "left_semi").dropDuplicates(["j_dk", "j_tk"]).select(*docs.columns)
+             .select(F.coalesce(F.col("k.doc_id").cast("string"), F.lit("~")).alias(n_dk), F.col("k.tk").alias(n_tk)))
+    named = docs.withColumn(n_dk, dk).withColumn(n_tk, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    return named.join(first, [n_dk, n_tk], "left_semi").dropDuplicates([n_dk, n_tk]).select(*docs.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aeroframe.llm.text import small_batches
+from aeroframe.llm.text import seeded_sample, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Labels of the field: 0 is none, then the kinds in order.
@@ -334,7 +334,7 @@ def find_private(docs: DataFrame, key: str = "doc_id", text: str = "text", sampl
     columns are ignored; an empty table gives no rows. Texts are independent: nothing but the sample is moved."""
     small_batches(docs.sparkSession, 500)
     named = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("body"))
-    sample = (named.filter(F.col("body").rlike("[0-9@]")).select("body", F.xxhash64(F.lit(seed), "doc_id", "body").alias("o")).orderBy("o", "body").limit(sample_rows).collect())
+    sample = seeded_sample(named.filter(F.col("body").rlike("[0-9@]")).select("body", F.xxhash64(F.lit(seed), "doc_id", "body").alias("o")), "o", sample_rows, "body").collect()
     field = docs.sparkSession.sparkContext.broadcast(fit([r["body"] for r in sample]))
     kind = docs.schema[key].dataType.simpleString()
     return named.mapInArrow(_find(field), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

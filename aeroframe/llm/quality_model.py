@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aeroframe.llm.text import mix, small_batches
+from aeroframe.llm.text import mix, seeded_sample, small_batches
 
 WORD_BITS = 18
 RUNS = (1, 2, 4, 8, 16, 32, 64)
@@ -236,12 +236,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """A model of the labelled rows that are not held out; of more than ``sample_rows`` those that come first by a seeded hash of the key.
 
     The sample of labels is broadcast, as its size is bounded, and only its texts' features reach the driver."""
-    taken = (labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("l_key"), F.col(label).cast("int").alias("y"))
-             .distinct().orderBy(F.xxhash64(F.lit(seed), "l_key"), "l_key", "y").limit(sample_rows))
+    known = (labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("l_key"), F.col(label).cast("int").alias("y"))
+             .distinct().withColumn("l_order", F.xxhash64(F.lit(seed), "l_key")))
+    taken = seeded_sample(known, "l_order", sample_rows, "l_key", "y")
     named = docs.select(F.col(key).alias("d_key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     rows = named.join(F.broadcast(taken), F.col("d_key") == F.col("l_key")).select("d_key", "y", "body")
     # a key that many rows share counts once for each different text, and a sample never exceeds its bound by it
-    rows = rows.select("y", "body", F.xxhash64(F.lit(seed), "d_key", "body").alias("o")).orderBy("o", "y").limit(sample_rows)
+    rows = seeded_sample(rows.select("y", "body", F.xxhash64(F.lit(seed), "d_key", "body").alias("o")), "o", sample_rows, "y", "body")
     got = rows.select("o", "y", "body").mapInArrow(_features, "y int, f array<int>").collect()
     got = sorted((tuple(r["f"]), r["y"]) for r in got)
     at = np.concatenate([[0], np.cumsum([len(f) for f, _ in got])]).astype(np.int64)

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from aeroframe.session import checkpoint_dir
 
@@ -118,3 +119,45 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name, "10000")) > rows:
         spark.conf.set(name, str(rows))
+
+
+#: An odd multiplier and its inverse modulo 2 ** 64: hashes of byte ranges come from one running sum over a whole buffer.
+P = 0x9E3779B97F4A7C15
+P_INVERSE = pow(P, -1, 1 << 64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    if n:
+        out[0] = 1
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(out)
+
+
+def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 1) -> np.ndarray:
+    """64-bit hash of each byte range."""
+    with np.errstate(over="ignore"):
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(raw.astype(np.uint64) + np.uint64(salt * 256)) * powers(P, len(raw)), dtype=np.uint64)])
+        return mix((run[ends] - run[starts]) * powers(P_INVERSE, len(raw) + 1)[starts] + (ends - starts).astype(np.uint64))
+
+
+def unused(df: DataFrame | StructType, *names: str) -> list[str]:
+    """The names, lengthened where ``df`` has a column of that name already (case aside, as Spark compares them)."""
+    taken = {c.lower() for c in (df.names if isinstance(df, StructType) else df.columns)}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def seeded_sample(df: DataFrame, order: str, rows: int, *ties: str) -> DataFrame:
+    """At most ``rows`` rows: those that come first by ``order``, a column of 64-bit hashes.
+
+    The hash range is cut so that about twice as many rows remain before they are ordered; no task or driver sees more."""
+    n = df.count()
+    if n > 2 * rows:
+        df = df.filter(F.col(order) < F.lit(int(-(1 << 63) + (1 << 64) * (2 * rows / n))))
+    return df.orderBy(order, *ties).limit(rows)

@@ -12,7 +12,7 @@ ODD = [
 @pytest.fixture(scope="session")
 def odd(spark):
     rows = [(i, t, s, 5, "k", 2, "z") for i, t, s in ODD]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, tid int, tk string, n int, q_words string")
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, j_tk int, d_tk string, m_h int, s_shard string")
 
 
 @pytest.fixture(scope="session")

@@ -36,7 +36,7 @@ def test_rules_measure_as_brute_force(spark, sf, documents):
 
 
 def test_rules_odd_rows_and_order(spark, odd, nothing):
-    out = quality_rules.features(quality_rules.judge(odd.drop("q_words")))
+    out = quality_rules.features(quality_rules.judge(odd))
     for r in out.collect():
         assert (r.q_n_words, r.q_word_chars, r.q_n_symbols, r.q_n_dup_lines, r.q_n_repeat_words) == base_of(r.text)
         assert (r.rejected_by is None) == (r.doc_id in (8, 9))
