@@ -35,8 +35,8 @@ def filesystem(path: str):
 
 def _write(folder: str, tokenizer: str, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from aeroframe.llm.tokens import Encoder
-        encoder, shard = Encoder(tokenizer), TaskContext.get().partitionId()
+        from aeroframe.llm.tokens import encoder
+        encode, shard = encoder(tokenizer).encode, TaskContext.get().partitionId()
         files, root = filesystem(folder)
         draft, out, start, last, copies = f"{root}/ids/_draft-{shard:05d}-{uuid.uuid4().hex}", None, 0, object(), 0
         for b in batches:
@@ -45,7 +45,7 @@ def _write(folder: str, tokenizer: str, end_id: int, kind: str):
             if out is None:
                 files.create_dir(f"{root}/ids", recursive=True)
                 out = files.open_output_stream(draft)
-            ids, at = encoder.encode(pa.array(b.column("body").to_pylist(), pa.string()) if b.column("body").null_count else b.column("body").cast(pa.string()))
+            ids, at = encode(pa.array(b.column("body").to_pylist(), pa.string()) if b.column("body").null_count else b.column("body").cast(pa.string()))
             n = np.diff(at) + 1
             closed = np.full(int(n.sum()), end_id, kind)
             closed[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n - 1)] = ids
