@@ -29,7 +29,44 @@ def op2_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query()
+WORDS_SQL = r"""
+d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d)"""
+
+RULES_SQL = "WITH" + WORDS_SQL + r""",
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+twice AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
+l AS (SELECT *, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM w),
+m AS (SELECT l.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+  len(regexp_extract_all(t, '!!')) AS shouts, len(regexp_extract_all(t, '\p{Lu}')) AS upper, len(regexp_extract_all(t, '\p{L}')) AS letters,
+  len([i FOR i IN range(2, len(w) + 1) IF w[i] = w[i - 1]]) AS stutter FROM l LEFT JOIN covered USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (word_chars > 20::DOUBLE * n_words OR n_symbols > 0.1::DOUBLE * n_words
+  OR shouts > 0.2::DOUBLE * n_words OR upper > 0.6::DOUBLE * letters OR n_dup_lines > 0.4::DOUBLE * n_lines OR stutter > 0.2::DOUBLE * n_words) AS kept FROM b"""
+
+REPEATS_SQL = "WITH" + WORDS_SQL + r""",
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) > 34)),
+again AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY s) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS j FROM again, (SELECT unnest(range(35)) AS k)),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS s FROM p ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.s, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+LINKS_SQL = "WITH RECURSIVE" + WORDS_SQL + r""",
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * k >= 4 * (x.n + y.n - k)
+  UNION SELECT x.doc_id, y.doc_id FROM d x JOIN d y ON x.t = y.t AND x.doc_id <> y.doc_id),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+class AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a)
+SELECT d.doc_id, class_id, (SELECT count(*) FROM links WHERE links.a = d.doc_id) AS n_links, (count(*) OVER (PARTITION BY t)) - 1 AS n_copies FROM d JOIN class USING (doc_id)"""
+
+
+@query(RULES_SQL)
 def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Measures and the verdict of the cascade for every document."""
     docs = quality_rules.measure(table(spark, sf, "documents").select("doc_id", "text"))
@@ -40,7 +77,7 @@ def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
         (~failed & F.col("rejected_by").isNull()).alias("kept")))
 
 
-@query()
+@query(LINKS_SQL)
 def op5_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     """Near-copy class and number of links of every document."""
     return ngram_join.jaccard_classes(table(spark, sf, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
@@ -54,7 +91,7 @@ def op6_shuffle_shards(spark: SparkSession, sf: str) -> DataFrame:
                       F.lit("key").alias("law"), "shard", "slot", sharding.shard_of(F.col("doc_id"), 17).cast("int").alias("grown_shard"))
 
 
-@query()
+@query(REPEATS_SQL)
 def op7_remove_repeats(spark: SparkSession, sf: str) -> DataFrame:
     """Documents without the words of 35-word windows that occur more than once."""
     return substring.remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
