@@ -34,14 +34,25 @@ ROLES = frozenset("navigation banner contentinfo complementary search alert aler
 MARKS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promoted promotion banner nav navbar navigation navi menu menus "
                   "breadcrumb breadcrumbs masthead footer sidebar sidebars aside related recommended recommendations share sharing social comment comments commentlist reply replies respond disqus "
                   "cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login signin widget widgets pagination pager "
-                  "toolbar skip topbar form search".split())
-PAGE_HEAD = frozenset({"header", "topheader", "pageheader", "siteheader"})
+                  "toolbar skip topbar form search copyright disclaimer announcement feedback reactions discussion responses popular trending teaser teasers links linklist tagcloud register poll survey".split())
+#: Words that tell that an element has or lacks such a part; words at a name's end that say nothing; heads that belong to the article.
+ABOUT, VAGUE, OWN_HEAD = frozenset("has with no without not hide".split()), frozenset("left right top bottom inner outer box block area list item items section region container slot group wrapper".split()), frozenset("entry article post story content".split())
 MARKUP = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<(?:[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？¿¡]")
 
 
+def left_out_name(name: str, inside: bool) -> bool:
+    """Whether a class or id begins or ends with a mark: ``site-nav`` and ``ad-slot-1`` do, ``content-sidebar-wrap`` and ``has-comments`` don't."""
+    found = [w.lower() for w in WORDS.findall(name)]
+    while len(found) > 1 and (found[-1] in VAGUE or found[-1].isdigit()):
+        found.pop()
+    if not found or found[0] in ABOUT:
+        return False
+    return found[0] in MARKS or found[-1] in MARKS or not inside and found[-1].endswith("header") and found[0] not in OWN_HEAD
+
+
 @dataclass
 class Block:
     path: str
@@ -107,8 +118,7 @@ class Reader:
             if key == "role" and value.lower().strip() in ROLES:
                 return True
             if key in ("class", "id") and name not in ("html", "body", "article", "main"):
-                found = {w.lower() for w in WORDS.findall(html.unescape(value))}
-                if found & MARKS or not inside and found & PAGE_HEAD:
+                if any(left_out_name(c, inside) for c in html.unescape(value).split()):
                     return True
         return False
 

@@ -24,6 +24,7 @@ BPE = public_tokenizers.path("byte_bpe_50k.json")
     ("<nav>menu here</nav><article><h1>Title &amp; more</h1><p>Text  with\n <b>bold<br>parts</b>.</p><div class='ad box'>Buy, now.</div><p>End.</p></article><footer>x</footer>", "Title & more\n\nText with bold parts.\n\nEnd."),
     ("<header>Site</header><main><header><h1>Head</h1></header><p>Body text, long enough.</p><form>Name</form><section id=comments><p>Nice, one!</p></section></main>", "Head\n\nBody text, long enough."),
     ("<div class='cookie-notice'>We use cookies.</div><div><p>Words, and more words, here.</p><script>if (a<b) '</p>'</script><aside>See also.</aside></div>", "Words, and more words, here."),
+    ("<div class='content-sidebar-wrap has-comments'><p>Text, here it is.</p><div id=adBox2>Buy.</div><div class=page-header>Site</div><div class=user_comments>Hm.</div></div>", "Text, here it is."),
     ("<article><p>cut off in a <b>tag</b> <a hre", "cut off in a tag"), ("<p hidden>no</p><p>yes, really.</p>", "yes, really."), ("<article><ul><li>one<li>two</ul></article>", "one\n\ntwo"),
 ])
 def test_main_text(page, want):
