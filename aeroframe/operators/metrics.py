@@ -16,6 +16,7 @@ from aeroframe.functions.grids import N_STATIONS, on_cosine_grid
 from aeroframe.functions.physics import dynamic_pressure, relative_error
 from aeroframe.operators.ordering import exact_quantiles, join_null_safe, spearman, value_splits
 from aeroframe.operators.resample import station_array
+from aeroframe.session import written
 
 # Gate limits on relative error, tail rule, and the separation window in x/c.
 GATE_LIMITS = {"Cl": 0.02, "Cd": 0.05}
@@ -94,6 +95,7 @@ def regression_metrics(df: DataFrame, groups: Sequence[str], true: str, pred: st
                      (model_mean if model_mean is not None else F.col(pred)).alias("mp"),
                      (F.nanvl(F.col(std).cast("double"), F.lit(None)) if std else F.lit(None).cast("double")).alias("s")
                      ).withColumn("rel", relative_error(F.col("t"), F.col("p")))
+    rows = written(rows, "metric-rows")     # six passes follow
     error = F.col("t") - F.col("p")
     base = rows.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n_test"), r_squared("t", "p").alias("R2"), F.sqrt(F.avg(error * error)).alias("RMSE"),
@@ -122,6 +124,7 @@ def error_criterion(df: DataFrame, groups: Sequence[str], true: str, integrated:
     """Relative-error gate: median within ``limit`` and at most 5 % of rows beyond three times it."""
     groups = list(groups)
     rows = df.select(*groups, F.abs(F.col(integrated) - F.col(true)).alias("gap"), relative_error(F.col(true), F.col(integrated)).alias("rel"))
+    rows = written(rows, "criterion-rows")
     base = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.avg("rel").alias("mean_rel"), share(F.col("rel") > TAIL_FACTOR * limit).alias("tail_fraction"))
     cuts = value_splits(rows, ["rel", "gap"])
     out = join_null_safe(base, exact_quantiles(rows, groups, "rel", {"median_rel": 0.5, "p95_rel": 0.95}, cuts["rel"]), groups)
@@ -168,6 +171,7 @@ def family_summary(predictions: DataFrame, groups: Sequence[str]) -> DataFrame:
     """R2 of both targets, median absolute lift error, median and P90 percent drag error, mean 95 % coverage."""
     rows = predictions.withColumn("dCl", F.abs(F.col("Cl_pred") - F.col("Cl_true"))) \
         .withColumn("dCd", F.abs(100 * F.try_divide(F.col("Cd_pred") - F.col("Cd_true"), F.col("Cd_true"))))
+    rows = written(rows, "family-rows")
     base = rows.groupBy(*groups).agg(r_squared("Cl_true", "Cl_pred").alias("R2_Cl"), r_squared("Cd_true", "Cd_pred").alias("R2_Cd"),
                                      share(covered_95("Cl")).alias("_c1"), share(covered_95("Cd")).alias("_c2"))
     base = base.withColumn("coverage_95", F.when(F.col("_c1").isNull(), F.col("_c2")).when(F.col("_c2").isNull(), F.col("_c1"))
@@ -179,7 +183,7 @@ def family_summary(predictions: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 def agreement_summary(deltas: DataFrame, groups: Sequence[str], dcl: str = "dCl", dcd: str = "dCd_pct") -> DataFrame:
     """Median and mean of absolute deltas, and the signed median of the drag delta, per reference source."""
-    rows = deltas.select(*groups, F.abs(dcl).alias("a"), F.abs(dcd).alias("b"), F.col(dcd).alias("c"))
+    rows = written(deltas.select(*groups, F.abs(dcl).alias("a"), F.abs(dcd).alias("b"), F.col(dcd).alias("c")), "agreement-rows")
     base = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_abs_dCl"), F.avg("b").alias("mean_abs_dCd"))
     cuts = value_splits(rows, ["a", "c"])
     for column, name in (("a", "median_abs_dCl"), ("c", "median_dCd")):
