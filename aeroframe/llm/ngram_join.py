@@ -228,7 +228,8 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     nodes = (texts.select("tk", "tid", "copies").join(roots.withColumnRenamed("id", "tid"), "tid", "left").join(counted, "tid", "left")
              .select("tk", F.coalesce("root", "tid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies")))
     every = stored(rowset.select("doc_id", "tk").join(nodes, "tk"), "join-nodes")
-    named = every.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    # written, so that a class of very many documents is a skewed join that Spark can split
+    named = stored(every.groupBy("root").agg(F.min("doc_id").alias("class_id")), "join-classes")
     return every.join(named, "root").select("doc_id", "class_id", "n_links", "n_copies", "tk", "root")
 
 
