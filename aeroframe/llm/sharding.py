@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from aeroframe.llm.text import shared_folder
+from aeroframe.llm.text import shared_folder, stored, unused
 
 
 def shard_of(key: Column, shards: int, seed: int = 41) -> Column:
@@ -29,31 +29,36 @@ def row_size(text: Column) -> Column:
 
 
 def scatter(docs: DataFrame, path: str, shards: int = 16, key: str = "doc_id", text: str = "text", seed: int = 41, bucket_bytes: int = 4 << 20) -> None:
-    """Writes ``docs`` below ``path`` with ``s_shard``, ``s_bucket`` and ``s_place``, the place after the bucket's permutation.
+    """Writes ``docs`` below ``path`` with shard, bucket and the place after the bucket's permutation, under names of ``own_names``.
 
     The number of buckets follows from the table's bytes. Rows with one key share a shard, as the law asks, but are spread over
-    its buckets by the hash of the text and, for rows that are equal, by their place in the input."""
+    its buckets by the hash of the text and by their place in the input, so equal rows are spread too."""
+    shard, bucket, place, _, _ = own_names(docs.schema)
     total = docs.agg(F.sum(row_size(F.col(text))).alias("n")).first()["n"] or 0
     buckets = max(1, math.ceil(total / bucket_bytes / shards))
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(buckets))
-    rows = (docs.withColumn("s_shard", shard_of(F.col(key), shards, seed))
-            .withColumn("s_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.col(text), salt), F.lit(buckets)).cast("int")))
-    gathered = (rows.groupBy("s_shard", "s_bucket").agg(F.collect_list(F.struct(*[F.col(c) for c in docs.columns])).alias("s_rows"))
-                .withColumn("s_rows", F.shuffle(F.sort_array("s_rows"), seed)))
-    (gathered.select("s_shard", "s_bucket", F.posexplode("s_rows").alias("s_place", "s_row"))
-     .select("s_shard", "s_bucket", "s_place", *[F.col("s_row").getField(c).alias(c) for c in docs.columns])
-     .write.partitionBy("s_shard").parquet(path))
+    packed = docs.select(shard_of(F.col(key), shards, seed).alias("s"), F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.col(text), salt), F.lit(buckets)).cast("int").alias("b"),
+                         F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    gathered = packed.groupBy("s", "b").agg(F.collect_list("row").alias("rows")).withColumn("rows", F.shuffle(F.sort_array("rows"), seed))
+    (gathered.select(F.col("s").alias(shard), F.col("b").alias(bucket), F.posexplode("rows").alias("p", "row"))
+     .select(shard, bucket, F.col("p").alias(place), "row.*").write.partitionBy(shard).parquet(path))
+
+
+def own_names(schema: StructType) -> list[str]:
+    """Column names of the files that the rows' own columns leave free: shard, bucket, place, and two for reading."""
+    return unused(schema, "s_shard", "s_bucket", "s_place", "s_offset", "s_n")
 
 
 def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The written shards, rows of ``schema``, with ``shard`` and ``slot``; slots of a shard run from 0 without gaps."""
-    own = [StructField("s_bucket", IntegerType()), StructField("s_place", IntegerType()), StructField("s_shard", IntegerType())]
-    at = spark.read.schema(StructType([*schema.fields, *own])).parquet(path)
-    sizes = at.groupBy("s_shard", "s_bucket").agg(F.count(F.lit(1)).alias("s_n"))
-    w = Window.partitionBy("s_shard").orderBy("s_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("s_shard", "s_bucket", F.coalesce(F.sum("s_n").over(w), F.lit(0)).alias("s_offset"))
-    return (at.join(offsets, ["s_shard", "s_bucket"])
-            .select(*[F.col(c) for c in schema.names], F.col("s_shard").cast("int").alias("shard"), (F.col("s_offset") + F.col("s_place")).cast("long").alias("slot")))
+    shard, bucket, place, offset, n = own_names(schema)
+    at = spark.read.schema(StructType([*schema.fields, *[StructField(c, IntegerType()) for c in (bucket, place, shard)]])).parquet(path)
+    sizes = at.groupBy(shard, bucket).agg(F.count(F.lit(1)).alias(n))
+    w = Window.partitionBy(shard).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    # written, so that Spark knows its size and joins it as it fits: one row a bucket
+    offsets = stored(sizes.select(shard, bucket, F.coalesce(F.sum(n).over(w), F.lit(0)).alias(offset)), "shard-offsets")
+    return (at.join(offsets, [shard, bucket])
+            .select(*[F.col(c) for c in schema.names], F.col(shard).alias("shard"), (F.col(offset) + F.col(place)).cast("long").alias("slot")))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", seed: int = 41, bucket_bytes: int = 4 << 20, path: str | None = None) -> DataFrame:
