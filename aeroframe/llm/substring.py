@@ -156,6 +156,32 @@ def repeated_starts(numbered: DataFrame, width: int = 35, piece: int = 12, depth
     return counted.filter((F.col("n") > 1) | (F.col("pos") < 0) | F.col("pos").isNull()).select("row", F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos")).alias("pos"), "more")
 
 
+def row_marks(at: DataFrame, most_bits: int = 27) -> bytes:
+    """A bitmap, 16 MB at most, of the hashes of the rows that lose words: rows it does not mark need no join. A full one marks more rows, never fewer."""
+    bits = int(min(most_bits, max(10, math.ceil(math.log2(16 * max(1, at.count()))))))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << bits, bool)
+        for b in batches:
+            own[b.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - bits)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()], pa.binary())], ["bits"])
+    for r in at.select(F.xxhash64("row").alias("h")).coalesce(8).mapInArrow(run, "bits binary").collect():
+        out |= np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes()
+
+
+def _marked(marks, wanted: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(marks.value, np.uint8)
+        bits = (len(table) * 8).bit_length() - 1
+        for b in batches:
+            cell = (b.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            on = ((table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1) == 1
+            yield b.filter(pa.array(on == wanted)).select(["row", "doc_id", "text"])
+    return run
+
+
 def _cut(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,8 +216,12 @@ def remove_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text:
     numbered = stored(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), n_words(text).alias("n_words")).withColumn("row", F.monotonically_increasing_id()), "substring-rows")
     hashed = numbered.select("row", "n_words", word_hashes("text").alias("w"))
     starts = repeated_starts(hashed, width, piece, depth, most_bits)
-    at = (starts.groupBy("row").agg(F.collect_list("pos").alias("one"), F.collect_list("more").alias("more"))       # no more than the words of one document
-          .select("row", F.concat("one", F.flatten("more")).alias("at")))
-    out = numbered.join(at, "row", "left").select("doc_id", words("text").alias("w"), "at")
+    at = stored(starts.groupBy("row").agg(F.collect_list("pos").alias("one"), F.collect_list("more").alias("more"))       # no more than the words of one document
+                .select("row", F.concat("one", F.flatten("more")).alias("at")), "substring-places")
     kind = docs.schema[key].dataType.simpleString()
-    return out.mapInArrow(_cut(width), f"doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    marked = docs.sparkSession.sparkContext.broadcast(row_marks(at))
+    given = numbered.select("row", "doc_id", "text", F.xxhash64("row").alias("h"))
+    hit = given.mapInArrow(_marked(marked, True), f"row long, doc_id {kind}, text string").join(at, "row", "left").select("doc_id", "text", "at")
+    rest = given.mapInArrow(_marked(marked, False), f"row long, doc_id {kind}, text string").select("doc_id", "text", F.lit(None).cast("array<int>").alias("at"))
+    out = "doc_id {}, n_words long, n_removed long, kept_text string, kept_sha256 string".format(kind)
+    return hit.unionByName(rest).select("doc_id", words("text").alias("w"), "at").mapInArrow(_cut(width), out)
