@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aeroframe.llm.text import mix, seeded_sample, small_batches
+from aeroframe.llm.text import flat, mix, seeded_sample, small_batches
 
 WORD_BITS = 18
 RUNS = (1, 2, 4, 8, 16, 32, 64)
@@ -221,7 +221,7 @@ def held_out(key: Column) -> Column:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         col, at = indicators(b.column("body"))
-        yield pa.RecordBatch.from_arrays([b.column("y"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(col))], ["y", "f"])
+        yield pa.RecordBatch.from_arrays([b.column("o"), b.column("y"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(col))], ["o", "y", "f"])
 
 
 def _score(model):
@@ -243,11 +243,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = named.join(F.broadcast(taken), F.col("d_key") == F.col("l_key")).select("d_key", "y", "body")
     # a key that many rows share counts once for each different text, and a sample never exceeds its bound by it
     rows = seeded_sample(rows.select("y", "body", F.xxhash64(F.lit(seed), "d_key", "body").alias("o")), "o", sample_rows, "y", "body")
-    got = rows.select("o", "y", "body").mapInArrow(_features, "y int, f array<int>").collect()
-    got = sorted((tuple(r["f"]), r["y"]) for r in got)
-    at = np.concatenate([[0], np.cumsum([len(f) for f, _ in got])]).astype(np.int64)
-    col = np.array([x for f, _ in got for x in f], np.int64)
-    return fit(col, at, np.array([1 if y > 0 else -1 for _, y in got], np.int64))
+    got = rows.select("o", "y", "body").mapInArrow(_features, "o long, y int, f array<int>").toArrow()
+    if not got.num_rows:
+        return fit(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64))
+    got = got.sort_by([("o", "ascending"), ("y", "ascending")])      # the fit goes through the rows in this order
+    col, at = flat(got.column("f"))
+    return fit(col, at, np.where(got.column("y").to_numpy() > 0, 1, -1))
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", limit: float = 0.7, **options) -> DataFrame:
