@@ -37,22 +37,53 @@ MARKS = frozenset("ad ads adv advert adverts advertisement advertisements advert
                   "toolbar skip topbar form search copyright disclaimer announcement feedback reactions discussion responses popular trending teaser teasers links linklist tagcloud register poll survey".split())
 #: Words that tell that an element has or lacks such a part; words at a name's end that say nothing; heads that belong to the article.
 ABOUT, VAGUE, OWN_HEAD = frozenset("has with no without not hide".split()), frozenset("left right top bottom inner outer box block area list item items section region container slot group wrapper".split()), frozenset("entry article post story content".split())
+#: Marks that are also words of ordinary titles, and words that such a mark has beside it when it does name a part of the page.
+ORDINARY = frozenset("discussion related search share sharing social form poll survey links notice notices register responses reactions replies reply feedback popular trending recommended recommendations "
+                     "announcement promotion alert menu navigation subscription advertising sponsors copyright consent".split())
+BESIDE = frozenset("post posts article articles story stories news button buttons icon icons bar tools count counts media row field control".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTROLS = frozenset("form button input select textarea".split())
+KEEP, OUT, DOUBTFUL = range(3)
+#: Characters outside links that a form control may have beside it in an element whose name is in doubt.
+CONTROL_TEXT = 200
 MARKUP = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<(?:[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z))", re.S)
+ARTICLE = re.compile(r"<(?:article|main)[\s/>]", re.I)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？¿¡]")
 
 
-def left_out_name(name: str, inside: bool) -> bool:
-    """Whether a class or id begins or ends with a mark: ``site-nav`` and ``ad-slot-1`` do, ``content-sidebar-wrap`` and ``has-comments`` don't."""
+def name_words(name: str) -> list[str]:
+    """Words of a class or id, without vague words and numbers at the end."""
     found = [w.lower() for w in WORDS.findall(name)]
     while len(found) > 1 and (found[-1] in VAGUE or found[-1].isdigit()):
         found.pop()
+    return found
+
+
+def left_out_name(name: str, inside: bool) -> bool:
+    """Whether a class or id begins or ends with a mark: ``site-nav`` and ``ad-slot-1`` do, ``content-sidebar-wrap`` and ``has-comments`` don't."""
+    found = name_words(name)
     if not found or found[0] in ABOUT:
         return False
     return found[0] in MARKS or found[-1] in MARKS or not inside and found[-1].endswith("header") and found[0] not in OWN_HEAD
 
 
+def judged_name(name: str, inside: bool, article: bool, is_id: bool) -> int:
+    """KEEP, OUT, or DOUBTFUL: what the element holds decides. ``article``: the element may be part of the article.
+
+    There, ids are often slugs of titles (``discussion``, ``related-work``) and classes compounds (``share-price``): an ordinary word
+    alone leaves an element out only as a class that has nothing but such words."""
+    if not left_out_name(name, inside):
+        return KEEP
+    found = name_words(name)
+    if not article or any(w in MARKS and w not in ORDINARY for w in (found[0], found[-1])):
+        return OUT
+    if not any(w in MARKS for w in (found[0], found[-1])):
+        return OUT
+    return OUT if not is_id and all(w in MARKS or w in VAGUE or w in BESIDE for w in found) else DOUBTFUL
+
+
 @dataclass
 class Block:
     path: str
@@ -62,7 +93,11 @@ class Block:
 
 @dataclass
 class Reader:
-    """Open elements as (name, label, left out, in article)."""
+    """Open elements as (name, label, left out, in article, blocks and controls before it if its name is in doubt).
+
+    ``bare``: the page has neither article nor main, so that any element may be part of the article."""
+    bare: bool = False
+    controls: int = 0
     stack: list = field(default_factory=list)
     blocks: list = field(default_factory=list)
     parts: list = field(default_factory=list)
@@ -86,15 +121,26 @@ class Reader:
                 self.blocks.append(Block("/".join(s[1] for s in self.stack), text, self.linked))
             self.parts, self.linked = [], 0
 
+    def pop(self, k: int) -> None:
+        """Ends the elements from place ``k`` on. One whose name is in doubt goes if it is mostly links, or form controls with little text."""
+        for *_, doubt in reversed(self.stack[k:]):
+            if doubt:
+                own = self.blocks[doubt[0]:]
+                linked, text = sum(b.linked for b in own), sum(len(b.text) for b in own)
+                if linked * 2 > text or text - linked <= CONTROL_TEXT * (self.controls - doubt[1]):
+                    del self.blocks[doubt[0]:]
+        del self.stack[k:]
+
     def open(self, name: str, attributes: str, closed: bool) -> None:
+        self.controls += name in CONTROLS
         if name in INLINE:
             if name == "br":
                 self.add(" ")
             if name not in VOID and not closed:
                 # inline elements that are left out hide their text too; others leave no trace
-                out = not self.left_out() and attributes and self._marked(name, attributes, True)
-                if out:
-                    self.stack.append((name, name, True, self.stack[-1][3] if self.stack else False))
+                judged = KEEP if self.left_out() or not attributes else self._marked(name, attributes, True)
+                if judged == OUT or judged == DOUBTFUL and name == "a" and re.search(r"\bhref\b", attributes, re.I):
+                    self.stack.append((name, name, True, self.stack[-1][3] if self.stack else False, None))
                 elif name == "a":
                     self.links += 1
             return
@@ -106,26 +152,31 @@ class Reader:
         if name in VOID:
             return
         inside = bool(self.stack) and self.stack[-1][3]
-        out = self.left_out() or name in NEVER or (name == "header" and not inside) or bool(attributes) and self._marked(name, attributes, inside)
-        self.stack.append((name, name, out, inside or name in ("article", "main")))
+        out = self.left_out() or name in NEVER or (name == "header" and not inside)
+        judged = self._marked(name, attributes, inside) if attributes and not out else KEEP
+        doubt = (len(self.blocks), self.controls) if judged == DOUBTFUL else None
+        self.stack.append((name, name, out or judged == OUT, inside or name in ("article", "main"), doubt))
         self.links = 0
 
-    def _marked(self, name: str, attributes: str, inside: bool) -> bool:
+    def _marked(self, name: str, attributes: str, inside: bool) -> int:
+        judged, article = KEEP, self.bare or bool(self.stack) and self.stack[-1][3]
         for key, *values in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values)
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return OUT
             if key == "role" and value.lower().strip() in ROLES:
-                return True
-            if key in ("class", "id") and name not in ("html", "body", "article", "main"):
-                if any(left_out_name(c, inside) for c in html.unescape(value).split()):
-                    return True
-        return False
+                return OUT
+            if key in ("class", "id") and name not in ("html", "body", "article", "main") and not (article and key == "id" and name in HEADINGS):
+                found = {judged_name(c, inside, article, key == "id") for c in html.unescape(value).split()}
+                if OUT in found:
+                    return OUT
+                judged = DOUBTFUL if DOUBTFUL in found else judged
+        return judged
 
     def _close_in_scope(self, names: set, stop: frozenset | set = SCOPE) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] in names:
-                del self.stack[k:]
+                self.pop(k)
                 return
             if self.stack[k][0] in stop:
                 return
@@ -140,7 +191,7 @@ class Reader:
                 if name not in INLINE:
                     self.flush()
                     self.links = 0
-                del self.stack[k:]
+                self.pop(k)
                 return
         if name == "p":
             self.flush()
@@ -148,7 +199,7 @@ class Reader:
 
 def read_blocks(page: str) -> list[Block]:
     """Text blocks in page order, without those of elements that are never article text."""
-    r, at, end = Reader(), 0, len(page)
+    r, at, end = Reader(bare=not ARTICLE.search(page)), 0, len(page)
     while at < end:
         m = MARKUP.search(page, at)
         if m is None:
@@ -170,6 +221,7 @@ def read_blocks(page: str) -> list[Block]:
             stop = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             at = stop.start() if stop else end
     r.flush()
+    r.pop(0)
     return r.blocks
 
 
