@@ -3,7 +3,8 @@
 A page becomes a list of text blocks, each with its path of block elements from the root. Blocks inside elements that are
 never article text (menus, page headers, footers, sidebars, notices, adverts, forms, comments, code) are left out. Of the
 others, text outside links and punctuation are summed per path; every block takes its path's two ratios, both series are
-smoothed over the page order and fused, and a path is content if its blocks' mean reaches a share of the page's level.
+smoothed over the page order and fused, and a path is content if its blocks' mean reaches a share of the page's level. These
+paths find the element that is the article; its other blocks (lists, tables, code, short paragraphs) are content too, unless linked.
 """
 
 from __future__ import annotations
@@ -41,6 +42,9 @@ ABOUT, VAGUE, OWN_HEAD = frozenset("has with no without not hide".split()), froz
 ORDINARY = frozenset("discussion related search share sharing social form poll survey links notice notices register responses reactions replies reply feedback popular trending recommended recommendations "
                      "announcement promotion alert menu navigation subscription advertising sponsors copyright consent".split())
 BESIDE = frozenset("post posts article articles story stories news button buttons icon icons bar tools count counts media row field control".split())
+#: Elements that group whole parts of a page; lists and tables.
+CONTAINERS = frozenset("article main section div center td".split())
+LISTS = frozenset("ul ol dl table".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTROLS = frozenset("form button input select textarea".split())
 KEEP, OUT, DOUBTFUL = range(3)
@@ -86,18 +90,21 @@ def judged_name(name: str, inside: bool, article: bool, is_id: bool) -> int:
 
 @dataclass
 class Block:
+    """A text, its length in links, and the elements around it as names (``path``) and as numbers on the page (``inside``)."""
     path: str
     text: str
     linked: int
+    inside: tuple[int, ...] = ()
 
 
 @dataclass
 class Reader:
-    """Open elements as (name, label, left out, in article, blocks and controls before it if its name is in doubt).
+    """Open elements as (name, number, left out, in article, blocks and controls before it if its name is in doubt).
 
     ``bare``: the page has neither article nor main, so that any element may be part of the article."""
     bare: bool = False
     controls: int = 0
+    opened: int = 0
     stack: list = field(default_factory=list)
     blocks: list = field(default_factory=list)
     parts: list = field(default_factory=list)
@@ -118,7 +125,7 @@ class Reader:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append(Block("/".join(s[1] for s in self.stack), text, self.linked))
+                self.blocks.append(Block("/".join(s[0] for s in self.stack), text, self.linked, tuple(s[1] for s in self.stack)))
             self.parts, self.linked = [], 0
 
     def pop(self, k: int) -> None:
@@ -133,6 +140,7 @@ class Reader:
 
     def open(self, name: str, attributes: str, closed: bool) -> None:
         self.controls += name in CONTROLS
+        self.opened += 1
         if name in INLINE:
             if name == "br":
                 self.add(" ")
@@ -140,7 +148,7 @@ class Reader:
                 # inline elements that are left out hide their text too; others leave no trace
                 judged = KEEP if self.left_out() or not attributes else self._marked(name, attributes, True)
                 if judged == OUT or judged == DOUBTFUL and name == "a" and re.search(r"\bhref\b", attributes, re.I):
-                    self.stack.append((name, name, True, self.stack[-1][3] if self.stack else False, None))
+                    self.stack.append((name, self.opened, True, self.stack[-1][3] if self.stack else False, None))
                 elif name == "a":
                     self.links += 1
             return
@@ -155,7 +163,7 @@ class Reader:
         out = self.left_out() or name in NEVER or (name == "header" and not inside)
         judged = self._marked(name, attributes, inside) if attributes and not out else KEEP
         doubt = (len(self.blocks), self.controls) if judged == DOUBTFUL else None
-        self.stack.append((name, name, out or judged == OUT, inside or name in ("article", "main"), doubt))
+        self.stack.append((name, self.opened, out or judged == OUT, inside or name in ("article", "main"), doubt))
         self.links = 0
 
     def _marked(self, name: str, attributes: str, inside: bool) -> int:
@@ -238,8 +246,46 @@ def smooth(x: list[float], radius: int = 2, sigma: float = 1.0) -> list[float]:
     return out
 
 
+def region(blocks: list[Block], chosen: list[bool], share: float = 0.8) -> list[bool]:
+    """Which blocks lie in the article: below the innermost ``article`` or ``main`` around ``share`` of the chosen text, or below the innermost other element around it.
+
+    If that is the body, or no element at all: the blocks between the first and the last chosen one, and those that no container
+    separates from the body."""
+    weights: dict[int, int] = {}
+    for b, c in zip(blocks, chosen, strict=True):
+        for k in b.inside if c else ():
+            weights[k] = weights.get(k, 0) + len(b.text)
+    least = share * sum(len(b.text) for b, c in zip(blocks, chosen, strict=True) if c)
+    names: list[str] = []
+    chain: tuple[int, ...] = ()
+    for b, c in zip(blocks, chosen, strict=True):
+        held = [k for k in b.inside if weights.get(k, 0) >= least] if c else []
+        if len(held) > len(chain):
+            chain, names = tuple(held), b.path.split("/")[:len(held)]
+    while names and names[-1] not in CONTAINERS and names[-1] not in ("html", "body"):      # a text's own paragraph or list is no article
+        names.pop()
+    own = next((k for k in range(len(names) - 1, -1, -1) if names[k] == "article"), next((k for k in range(len(names) - 1, -1, -1) if names[k] == "main"), len(names) - 1))
+    if own >= 0 and names[own] not in ("html", "body"):
+        return [chain[own] in b.inside for b in blocks]
+    at = [i for i, c in enumerate(chosen) if c]
+    return [at[0] <= i <= at[-1] or (CONTAINERS - {"td"}).isdisjoint(b.path.split("/")) for i, b in enumerate(blocks)] if at else chosen
+
+
+def unlinked(blocks: list[Block]) -> list[bool]:
+    """Which blocks are not mostly links; linked ones count as text in a list or table that is mostly other text."""
+    groups: dict[int, list[int]] = {}
+    own = []
+    for b in blocks:
+        k = next((k for name, k in zip(reversed(b.path.split("/")), reversed(b.inside), strict=False) if name in LISTS), -1)
+        own.append(k)
+        g = groups.setdefault(k, [0, 0])
+        g[0] += b.linked
+        g[1] += len(b.text)
+    return [b.linked * 2 <= len(b.text) or k >= 0 and groups[k][0] * 2 <= groups[k][1] for b, k in zip(blocks, own, strict=True)]
+
+
 def content(blocks: list[Block], share: float = 0.1) -> list[Block]:
-    """The blocks on paths whose mean fused ratio is ``share`` of the page's level or more.
+    """The blocks on paths whose mean fused ratio is ``share`` of the page's level or more, and the others in the article that are not mostly links.
 
     Level: the mean of the blocks' fused ratios, weighted by their text. A page whose blocks are all alike keeps them all."""
     sums: dict[str, list[float]] = {}
@@ -260,7 +306,9 @@ def content(blocks: list[Block], share: float = 0.1) -> list[Block]:
         m = mean.setdefault(b.path, [0.0, 0.0])
         m[0] += f
         m[1] += 1
-    return [b for b in blocks if mean[b.path][0] / mean[b.path][1] >= share * level]
+    chosen = [mean[b.path][0] / mean[b.path][1] >= share * level for b in blocks]
+    within = region(blocks, chosen)
+    return [b for b, c, i, u in zip(blocks, chosen, within, unlinked(blocks), strict=True) if c or i and u]
 
 
 def main_text(page: str | None) -> str:
