@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aeroframe.functions.grids import cosine_station
+from aeroframe.functions.grids import N_STATIONS, cosine_station
 from aeroframe.operators import metrics, modes, predict, regression, splits
 from aeroframe.plans import training
 from aeroframe.plans.registry import query, rounded, table
 
-WAVES = 60
-
 
 def part_dataset(spark, sf) -> DataFrame:
     """sample_id, the six features, Cl, Cd; noise comes from the part's own line items."""
@@ -26,7 +24,7 @@ def part_dataset(spark, sf) -> DataFrame:
     return f.withColumn("Cl", cl).withColumn("Cd", F.exp(log_cd)).withColumn("Re", F.pow(F.lit(10.0), F.col("log10_Re"))).drop("noise")
 
 
-def part_curves(spark, sf, n: int = 21) -> DataFrame:
+def part_curves(spark, sf, n: int = N_STATIONS) -> DataFrame:
     """Long Cp and Cf curves of every part on 2 x n stations."""
     d = part_dataset(spark, sf).select("sample_id", "alpha_deg", "t_max", "Cl")
     at = d.withColumn("surface", F.explode(F.array(F.lit("upper"), F.lit("lower")))).withColumn("station", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("x_c", cosine_station(F.col("station"), n))
@@ -48,7 +46,7 @@ def split_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
 def posterior_metrics(spark, sf):
     """Test-set accuracy of the posterior family trained on the other rows."""
     train, test = split_rows(spark, sf)
-    models, _ = training.train_coefficients(train, ["gp"], waves=WAVES)
+    models, _ = training.train_coefficients(train, ["gp"])
     return rounded(training.coefficient_metrics(training.score_cases(test, models, "full")), 4)
 
 
@@ -56,35 +54,44 @@ def posterior_metrics(spark, sf):
 def posterior_outliers(spark, sf):
     """Leave-one-out z of every part's lift and log drag."""
     rows = splits.fold_column(regression.feature_target(part_dataset(spark, sf)), "sample_id")
-    out = regression.loo_outliers(rows, regression.FEATURES, ["Cl", "logCd"], waves=WAVES, lengths=(2.0,))
+    out = regression.loo_outliers(rows, regression.FEATURES, ["Cl", "logCd"])
     return rounded(out.select("sample_id", "z_Cl", "z_logCd", "outlier"), 3)
 
 
 @query()
 def forest_spread(spark, sf):
     """Forest prediction of every part's lift with the deviation over trees."""
-    rows = part_dataset(spark, sf)
-    model, _ = regression.fit_forest(rows, regression.FEATURES, "Cl", fold=None, trees=20, depth=8, leaves=(2,))
+    rows = splits.fold_column(part_dataset(spark, sf), "sample_id")
+    model, _ = regression.fit_forest(rows, regression.FEATURES, "Cl")
     return rounded(regression.forest_predict(rows, model, regression.FEATURES, "Cl_pred", "Cl_spread").select("sample_id", "Cl", "Cl_pred", "Cl_spread"))
 
 
+def quantity_vectors(spark, sf) -> list[tuple[str, DataFrame]]:
+    """Cp and Cf with the curves and folds of all parts."""
+    vectors = modes.curve_vectors(part_curves(spark, sf))
+    return [(q, splits.fold_column(vectors.filter(F.col("quantity") == q), "sample_id")) for q in ("Cp", "Cf")]
+
+
 @query()
 def mode_truncation(spark, sf):
-    """Held-out reconstruction error of pressure curves per number of modes."""
-    vectors = modes.curve_vectors(part_curves(spark, sf)).filter(F.col("quantity") == "Cp")
-    basis = modes.fit_modes(splits.fold_column(vectors, "sample_id"), n_modes=8, mode_range=range(1, 9))
-    out = spark.createDataFrame([(k, v, basis.explained_variance) for k, v in basis.cv_rmse.items()], "n_modes int, cv_rmse double, explained_variance double")
-    return rounded(out, 8)
+    """Held-out reconstruction error of pressure and friction curves per number of modes."""
+    rows = []
+    for q, vectors in quantity_vectors(spark, sf):
+        basis = modes.fit_modes(vectors)
+        rows += [(q, k, v, basis.explained_variance) for k, v in basis.cv_rmse.items()]
+    return rounded(spark.createDataFrame(rows, "quantity string, n_modes int, cv_rmse double, explained_variance double"), 8)
 
 
 @query()
 def mode_reconstruction(spark, sf):
-    """Error of every part's pressure curve rebuilt from its mode weights."""
-    vectors = splits.fold_column(modes.curve_vectors(part_curves(spark, sf)).filter(F.col("quantity") == "Cp"), "sample_id")
-    basis = modes.fit_modes(vectors, n_modes=4, mode_range=(4,))
-    rebuilt = basis.curves(basis.weights(vectors))
+    """Error of every part's pressure and friction curve rebuilt from its mode weights."""
+    rebuilt = None
+    for _, vectors in quantity_vectors(spark, sf):
+        basis = modes.fit_modes(vectors)
+        part = basis.curves(basis.weights(vectors))
+        rebuilt = part if rebuilt is None else rebuilt.unionByName(part)
     gap = F.aggregate(F.zip_with("curve", "curve_pred", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    return rounded(rebuilt.select("sample_id", F.sqrt(gap / F.size("curve")).alias("rmse")), 6)
+    return rounded(rebuilt.select("sample_id", "quantity", F.sqrt(gap / F.size("curve")).alias("rmse")), 6)
 
 
 def supplier_queries(spark, sf) -> DataFrame:
@@ -98,7 +105,7 @@ def supplier_queries(spark, sf) -> DataFrame:
 def predict_queries(spark, sf):
     """Sweeps asked by every supplier: bands, L/D and envelope warnings; a refused code keeps an error."""
     train = part_dataset(spark, sf)
-    models, _ = training.train_coefficients(train, ["gp"], waves=WAVES)
+    models, _ = training.train_coefficients(train, ["gp"])
     rows = predict.feature_rows(supplier_queries(spark, sf))
     out = predict.predict_queries(rows.filter(F.col("error").isNull()), {("full", "gp"): models["gp"]}, training.train_envelope(train, "full"))
     answered = out.select("s_suppkey", "code", "alpha_deg", "Cl", "Cl_lo", "Cl_hi", "Cd", "L_over_D", "in_envelope", F.array_join("warning_ids", ",").alias("warning_ids"))
@@ -110,7 +117,7 @@ def predict_queries(spark, sf):
 def predict_surfaces(spark, sf):
     """Suction peak and separation of the wall curves predicted for every supplier's sweep."""
     train = part_dataset(spark, sf)
-    fitted = training.train_curves(train, modes.curve_vectors(part_curves(spark, sf)), n_modes=4, waves=WAVES)
+    fitted = training.train_curves(train, modes.curve_vectors(part_curves(spark, sf)), )
     asked = predict.feature_rows(supplier_queries(spark, sf))
     rows = asked.filter(F.col("error").isNull())
     keys = ["s_suppkey", "alpha_deg"]
