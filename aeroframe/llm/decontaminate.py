@@ -28,6 +28,8 @@ UNITS = ("mm cm m km in ft yd mi g mg kg t lb oz s ms min h hr hrs ml l w kw v a
          "liters litres gallons dollars euros cents degrees").split()
 UNIT_SET = frozenset(UNITS)
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
+#: Words that a short item has at least to be found inside a longer document, and words that are no placeholders that it needs there unless all are equal.
+INSIDE_WORDS, INSIDE_FREE = 3, 3
 INK = r"[^\x20\x09-\x0D]"
 WORD = re.compile(rf"{INK}+")
 
@@ -101,8 +103,10 @@ def _bitmap(bits: int):
     return run
 
 
-def _hits(width: int, bits: int, known):
-    """Documents: windows whose hash may be one of the benchmark's, with the words that stand there."""
+def _hits(width: int, bits: int, known, lengths: tuple[int, ...] = ()):
+    """Documents: windows whose hash may be one of the benchmark's, with the words that stand there.
+
+    ``lengths``: sizes of short items that are looked for inside longer documents; such a window at place p has place -2 - p."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, templates = np.frombuffer(known.value, np.uint8), Templates()
         for t in tables(batches):
@@ -114,14 +118,29 @@ def _hits(width: int, bits: int, known):
             own = np.array([window_hashes(hashes[starts[i]:starts[i + 1]], int(sizes[i]), 0x77 + int(sizes[i]))[0] for i in short], np.uint64)
             doc = np.concatenate([owner(starts)[at], short])
             pos = np.concatenate([at - starts[owner(starts)[at]], np.full(len(short), -1)])
-            h = np.concatenate([h, own])
+            h, size = np.concatenate([h, own]), np.concatenate([np.full(len(h), width), sizes[short]])
+            for n in lengths:
+                inner = np.flatnonzero(in_document(starts, n))
+                inner = inner[sizes[owner(starts)[inner]] > n]
+                place = owner(starts)[inner]
+                doc, pos = np.concatenate([doc, place]), np.concatenate([pos, -2 - (inner - starts[place])])
+                h, size = np.concatenate([h, window_hashes(hashes, n, 0x77 + n)[inner]]), np.concatenate([size, np.full(len(inner), n)])
             cell = (h >> np.uint64(64 - bits)).astype(np.int64)
             ok = np.flatnonzero((table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1)
             if not len(ok):
                 continue
-            doc, pos, h = doc[ok], pos[ok], h[ok]
+            doc, pos, h, size = doc[ok], pos[ok], h[ok], size[ok]
             split = {i: WORD.findall(t.column("body")[int(i)].as_py()) for i in np.unique(doc)}
-            stand = [split[d][max(p, 0):max(p, 0) + width] for d, p in zip(doc, pos, strict=True)]
+            first = np.where(pos < -1, -2 - pos, np.maximum(pos, 0))
+            stand = [split[d][p:p + n] for d, p, n in zip(doc, first, size, strict=True)]
+            if lengths:      # a short item that stands in a document again with the same words says nothing new
+                seen, new = set(), []
+                for i in range(len(doc)):
+                    k = (doc[i], h[i], *stand[i]) if pos[i] < -1 else i
+                    if k not in seen:
+                        seen.add(k)
+                        new.append(i)
+                doc, pos, h, stand = doc[new], pos[new], h[new], [stand[i] for i in new]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), t.column("row").combine_chunks().take(pa.array(doc)), t.column("doc_id").combine_chunks().take(pa.array(doc)),
                                               t.column("tk").combine_chunks().take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array(stand, pa.list_(pa.string()))],
                                              ["h", "row", "doc_id", "tk", "dpos", "dwords"])
@@ -174,6 +193,11 @@ def _decide(width: int, coverage: float):
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int64()), ("n_covered", pa.int64()), ("n_item", pa.int64()), ("changed", pa.bool_()), ("tk", pa.binary())])
 
 
+def inside(item: list[str], pairs: list[tuple[str, str]]) -> bool:
+    """Whether a short item counts where it stands inside a longer document."""
+    return all(a == b for a, b in pairs) or sum(not _placeholder(w) for w in item) >= INSIDE_FREE
+
+
 def verdict(rows: list[dict], width: int, coverage: float) -> dict | None:
     """Windows of one document and one item: the contaminated row, or None."""
     n = rows[0]["n_item"]
@@ -186,7 +210,7 @@ def verdict(rows: list[dict], width: int, coverage: float) -> dict | None:
         pairs = [_slots(r["iwords"], r["dwords"]) for r in own]
         free = [sum(not _placeholder(a) for a in r["iwords"]) for r in own]
         for r, p, ok in zip(own, pairs, consistent(pairs, [f < 2 for f in free]), strict=True):
-            if ok:
+            if ok and (r["dpos"] >= -1 or inside(r["iwords"], p)):
                 windows += 1
                 covered.update(range(max(r["ipos"], 0), min(n, max(r["ipos"], 0) + width)))
                 changed |= any(a != b for a, b in p)
@@ -200,7 +224,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, coverage
     """One row for each document row and benchmark item that it contains: doc_id, item_id, n_windows, n_covered, n_item, changed, tk.
 
     An item is contained if consistent template windows of ``width`` words cover ``coverage`` of its words or more; ``changed``
-    tells that slot values differ. Items of fewer words match documents whose whole template equals theirs. Null, empty and blank
+    tells that slot values differ. Items of fewer words match documents whose whole template equals theirs; those of three words or more
+    also match inside longer documents, where the words have to be equal or three of them no placeholders. Null, empty and blank
     texts contain nothing and are contained nowhere; null keys take part. Repeated documents each get their rows; an empty table on
     either side gives no rows; extra columns are ignored.
 
@@ -217,9 +242,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, coverage
     table = np.zeros(1 << (bits - 3), np.uint8)
     for r in known.select("h").coalesce(4).mapInArrow(_bitmap(bits), "bits binary").collect():
         table |= np.frombuffer(r["bits"], np.uint8)
+    lengths = tuple(sorted(r["n_item"] for r in known.filter((F.col("ipos") < 0) & (F.col("n_item") >= INSIDE_WORDS)).select("n_item").distinct().collect()))
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     hashed = named.select(F.monotonically_increasing_id().alias("row"), "doc_id", "body", F.unhex(F.sha2("body", 256)).alias("tk"))
-    hits = hashed.mapInArrow(_hits(width, bits, spark.sparkContext.broadcast(table.tobytes())), "h long, row long, doc_id long, tk binary, dpos int, dwords array<string>")
+    hits = hashed.mapInArrow(_hits(width, bits, spark.sparkContext.broadcast(table.tobytes()), lengths), "h long, row long, doc_id long, tk binary, dpos int, dwords array<string>")
     pairs = hits.join(known, "h").withColumn("g", F.xxhash64("row", "item_id"))
     return (pairs.repartition("g").sortWithinPartitions("g", "row", "item_id")
             .mapInArrow(_decide(width, coverage), "doc_id long, item_id long, n_windows long, n_covered long, n_item long, changed boolean, tk binary"))
