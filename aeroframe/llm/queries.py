@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroframe.llm import decontaminate, html_text, mixing, ngram_join, private_spans, quality_model, quality_rules, sharding, substring, token_store
+from aeroframe.llm import ball_codes, coordinate_join, decontaminate, html_text, importance, mixing, ngram_join, private_spans, quality_model, quality_rules, sharding, substring, token_store
 
 QUERIES, SQL = {}, {}
 
@@ -128,3 +128,70 @@ def op9_private_data(spark: SparkSession, sf: str) -> DataFrame:
 def op10_quality_model(spark: SparkSession, sf: str) -> DataFrame:
     """Quality score of every document."""
     return quality_model.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def codes_sql(rounds: int = 4) -> str:
+    """Each round is an assignment by full search and a floored mean."""
+    ctes = [r"""kept AS (SELECT vec_id, label, [CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)""",
+            "p AS MATERIALIZED (SELECT vec_id, label, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS v FROM kept, (VALUES (0), (1), (2), (3)) AS t(p))",
+            "b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v AS c FROM p QUALIFY e < 256)"]
+    for k in range(rounds + 1):
+        ctes.append(f"""a{k} AS MATERIALIZED (SELECT vec_id, label, p, v, min(CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v, c)]) AS BIGINT) * 256 + e) AS best
+  FROM p JOIN b{k} USING (p) GROUP BY ALL)""")
+        if k < rounds:
+            ctes.append(f"""s{k} AS (SELECT p, best % 256 AS e, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m FROM (SELECT p, best, unnest(v) AS x, unnest(range(len(v))) AS i FROM a{k}) GROUP BY ALL),
+m{k} AS (SELECT p, e, list(m ORDER BY i) AS m FROM s{k} GROUP BY ALL)""")
+            ctes.append(f"b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m, c) AS c FROM b{k} LEFT JOIN m{k} USING (p, e))")
+    return "WITH " + ",\n".join(ctes) + f""",
+d AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}),
+r AS (SELECT vec_id, label, string_agg(lower(printf('%02x', best % 256)), '' ORDER BY p) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM a{rounds} GROUP BY ALL)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r, d"""
+
+
+@query(codes_sql())
+def op11_ball_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes of all vectors under codebooks fitted by ball k-means."""
+    return ball_codes.encode(table(spark, sf, "embeddings"))
+
+
+#: crc32 of every different word, byte by byte; a byte's step is made of eight one-bit steps.
+RESAMPLE_SQL = r"""
+WITH steps AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) AS c FROM (SELECT unnest(range(256)) AS i))),
+w AS (SELECT doc_id, NULL AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT NULL, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS MATERIALIZED (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(w) AS w FROM w) GROUP BY ALL),
+h AS (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM f)),
+c AS MATERIALIZED (SELECT w, xor(list_reduce([4294967295] || [CAST('0x' || x[2 * k + 1:2 * k + 2] AS BIGINT) FOR k IN range(length(x) // 2)],
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b FROM h, steps),
+b AS MATERIALIZED (SELECT b, coalesce(sum(n) FILTER (doc_id IS NOT NULL), 0) AS s, coalesce(sum(n) FILTER (doc_id IS NULL), 0) AS t FROM f JOIN c USING (w) GROUP BY b),
+g AS (SELECT b, CAST(floor(1000 * ln(CAST((t + 1) * ((SELECT sum(s) FROM b) + 10000) AS DOUBLE) / CAST((s + 1) * ((SELECT sum(t) FROM b) + 10000) AS DOUBLE))) AS BIGINT) AS g FROM b),
+m AS (SELECT doc_id, CAST(floor(CAST(sum(n * g) AS DOUBLE) / sum(n)) AS BIGINT) AS weight FROM f JOIN c USING (w) JOIN g USING (b) WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(len(w), 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN m USING (doc_id) WHERE doc_id IS NOT NULL),
+s AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM d),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s WHERE n_features >= 20 QUALIFY rank <= (SELECT count(*) FROM s WHERE n_features >= 20) * 10 // 100)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, rank FROM s LEFT JOIN r USING (doc_id)"""
+
+
+@query(RESAMPLE_SQL)
+def op12_resample(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents weighed by likeness to the benchmark, a tenth of those with 20 words drawn."""
+    return importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 3], ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+class AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM class LEFT JOIN n USING (doc_id)"""
+
+
+@query(NEAR_SQL)
+def op13_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return coordinate_join.near_components(table(spark, sf, "documents"))
