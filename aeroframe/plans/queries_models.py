@@ -9,6 +9,7 @@ from aeroframe.functions.grids import N_STATIONS, cosine_station
 from aeroframe.operators import metrics, modes, predict, regression, splits
 from aeroframe.plans import training
 from aeroframe.plans.registry import query, rounded, table
+from aeroframe.session import written
 
 
 def part_dataset(spark, sf) -> DataFrame:
@@ -62,8 +63,8 @@ def posterior_outliers(spark, sf):
 def forest_spread(spark, sf):
     """Forest prediction of every part's lift with the deviation over trees."""
     rows = splits.fold_column(part_dataset(spark, sf), "sample_id")
-    model, _ = regression.fit_forest(rows, regression.FEATURES, "Cl")
-    return rounded(regression.forest_predict(rows, model, regression.FEATURES, "Cl_pred", "Cl_spread").select("sample_id", "Cl", "Cl_pred", "Cl_spread"))
+    model, _ = regression.fit_forest(rows, regression.FEATURES, ["Cl"])
+    return rounded(model.predict(rows, "{}_pred").select("sample_id", "Cl", "Cl_pred", "Cl_spread"))
 
 
 def quantity_vectors(spark, sf) -> list[tuple[str, DataFrame]]:
@@ -115,17 +116,19 @@ def predict_queries(spark, sf):
 
 @query()
 def predict_surfaces(spark, sf):
-    """Suction peak and separation of the wall curves predicted for every supplier's sweep."""
+    """Suction peak and separation of the wall curves that both families predict for every supplier's sweep."""
+    families = ("gp", "rf")
     train = part_dataset(spark, sf)
-    fitted = training.train_curves(train, modes.curve_vectors(part_curves(spark, sf)), )
-    asked = predict.feature_rows(supplier_queries(spark, sf))
+    fitted = training.train_curves(train, modes.curve_vectors(part_curves(spark, sf)), families=families)
+    asked = written(predict.feature_rows(supplier_queries(spark, sf).drop("family")), "surface-queries")
     rows = asked.filter(F.col("error").isNull())
-    keys = ["s_suppkey", "alpha_deg"]
+    keys = ["s_suppkey", "alpha_deg", "family"]
     long = None
-    for q, (basis, model) in fitted.items():
-        part = predict.predict_curves(rows, model, basis, q, keys)
-        long = part if long is None else long.unionByName(part)
-    refused = asked.filter(F.col("error").isNotNull()).select(*keys, "error")
+    for q, (basis, models) in fitted.items():
+        for family in families:
+            part = predict.predict_curves(rows.withColumn("family", F.lit(family)), models[family], basis, q, keys)
+            long = part if long is None else long.unionByName(part)
+    refused = predict.for_each(asked.filter(F.col("error").isNotNull()), family=families).select(*keys, "error")
     return rounded(predict.surface_summary(predict.surface_table(long, keys), keys).unionByName(refused, allowMissingColumns=True), 4)
 
 
