@@ -7,13 +7,16 @@ hash both sides on grid cells as wide as the tolerance and check only neighbouri
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from aeroframe.operators.ordering import add_bucket, join_null_safe, lookup_join, value_splits
+from aeroframe.operators.ordering import add_bucket, join_null_safe, lookup_join, selected_quantiles, value_splits
+from aeroframe.session import written
 
 
 class RepeatedKeyError(ValueError):
@@ -40,26 +43,89 @@ def one_to_one(left: DataFrame, right: DataFrame | None, key: str, defaults: Map
 
 def snapshot_compare(new: DataFrame, old: DataFrame, key: str, columns: Sequence[str],
                      rtol: float = 1e-9, atol: float = 1e-12) -> DataFrame:
-    """Per column: rows missing on a side, rows that differ beyond tolerance, largest and mean difference.
+    """Per column: rows missing on a side, rows that differ beyond tolerance, largest, mean and median difference.
 
-    One full outer join on the key, one aggregate.
+    One full outer join on the key, whose differences are written; one aggregate and one selection of all medians read them.
     """
     a = new.select(F.col(key).alias("_ka"), *[F.col(c).cast("double").alias(f"a_{c}") for c in columns])
     b = old.select(F.col(key).alias("_kb"), *[F.col(c).cast("double").alias(f"b_{c}") for c in columns])
-    both = a.join(b, F.col("_ka") == F.col("_kb"), "full_outer")
-    aggs = [F.count_if(F.col("_ka").isNull()).alias("only_old"), F.count_if(F.col("_kb").isNull()).alias("only_new")]
+    joined = a.join(b, F.col("_ka") == F.col("_kb"), "full_outer")
+    both = written(joined.select(F.col("_ka").isNotNull().alias("_ka"), F.col("_kb").isNotNull().alias("_kb"), *[F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")).alias(f"d_{c}") for c in columns],
+                                 *[(rtol * F.abs(F.col(f"b_{c}")) + atol).alias(f"t_{c}") for c in columns]), "snapshot-gaps")
+    aggs = [F.count_if(~F.col("_ka")).alias("only_old"), F.count_if(~F.col("_kb")).alias("only_new")]
     for c in columns:
-        gap = F.abs(F.col(f"a_{c}") - F.col(f"b_{c}"))
-        within = gap <= rtol * F.abs(F.col(f"b_{c}")) + atol
-        matched = F.col("_ka").isNotNull() & F.col("_kb").isNotNull()
+        gap = F.col(f"d_{c}")
+        within = gap <= F.col(f"t_{c}")
+        matched = F.col("_ka") & F.col("_kb")
         aggs += [F.count_if(matched & ~F.coalesce(within, F.lit(False))).alias(f"n_{c}"), F.max(gap).alias(f"m_{c}"),
                  F.avg(gap).alias(f"g_{c}")]
-    wide = both.agg(*aggs)
+    wide = join_null_safe(both.agg(*aggs), selected_quantiles(both, [], {f"d_{c}": {f"q_{c}": 0.5} for c in columns}), [], "left")
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("n_different"),
-                                 F.col(f"m_{c}").alias("max_difference"), F.col(f"g_{c}").alias("mean_difference")) for c in columns])
+                                 F.col(f"m_{c}").alias("max_difference"), F.col(f"g_{c}").alias("mean_difference"), F.col(f"q_{c}").alias("median_difference")) for c in columns])
     return wide.select("only_new", "only_old", F.explode(entries).alias("e")).select("e.*", "only_new", "only_old")
 
 
+# --- filters before a shuffle -----------------------------------------------------------------------
+
+#: Keys of two longs that are sent to every task as they are, and the most bytes of a Bloom filter sent instead.
+SENT_KEYS, FILTER_BYTES = 500_000, 64 << 20
+
+
+def _places(pdf: pd.DataFrame, bits: int, hashes: int) -> np.ndarray:
+    """Bits of each key (two longs) in the filter: rows x hashes."""
+    a, b = (pdf.iloc[:, i].to_numpy(np.int64).view(np.uint64) for i in (0, 1))
+    with np.errstate(over="ignore"):
+        h = a * np.uint64(0x9E3779B97F4A7C15) + b
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
+        step = (h >> np.uint64(17)) | np.uint64(1)
+        return np.stack([(h + np.uint64(i) * step) % np.uint64(bits) for i in range(hashes)], axis=1)
+
+
+def bloom_filter(keys: DataFrame, n: int, most_bytes: int = FILTER_BYTES, hashes: int = 4) -> np.ndarray:
+    """Bytes of a Bloom filter of the two long columns of ``keys``: tasks set bits, equal bytes are combined by a bitwise or.
+
+    10 bits a key, as far as ``most_bytes`` allow; a fuller filter lets more rows pass, never fewer."""
+    size = int(min(most_bytes, max(1024, n * 10 // 8)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = np.zeros(size, np.uint8)
+        for pdf in batches:
+            at = np.unique(_places(pdf, size * 8, hashes))
+            np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+        used = np.flatnonzero(table)
+        for lo in range(0, len(used), 100_000):
+            some = used[lo:lo + 100_000]
+            yield pd.DataFrame({"at": some, "bits": table[some].astype(np.int32)})
+
+    out = np.zeros(size, np.uint8)
+    parts = keys.mapInPandas(run, "at long, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out[parts["at"].to_numpy(np.int64)] = parts["bits"].to_numpy(np.uint8)
+    return out
+
+
+def likely_in(rows: DataFrame, keys: DataFrame, on: Sequence[str], sent_keys: int = SENT_KEYS, most_bytes: int = FILTER_BYTES) -> DataFrame:
+    """Rows of ``rows`` whose two long columns ``on`` may be among ``keys``: all that are, and few that aren't.
+
+    To be called before a join that shuffles a large table for a small share of its rows. Keys of a counted, small number are
+    broadcast; more are sent as a Bloom filter of bounded size. ``keys`` is read twice: pass a written or cut table."""
+    on = list(on)
+    wanted = keys.select(*[F.col(c).cast("long").alias(c) for c in on]).distinct()
+    n = wanted.count()
+    if n <= sent_keys:
+        return rows.join(F.broadcast(wanted), on, "left_semi")
+    held = rows.sparkSession.sparkContext.broadcast(bloom_filter(wanted, n, most_bytes))
+
+    @F.pandas_udf("boolean")
+    def inside(a: pd.Series, b: pd.Series) -> pd.Series:
+        table = held.value
+        at = _places(pd.DataFrame({"a": a, "b": b}), len(table) * 8, 4)
+        return pd.Series(((table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1))
+
+    whole = rows.filter(F.col(on[0]).isNotNull() & F.col(on[1]).isNotNull())
+    return whole.filter(inside(*[F.col(c).cast("long") for c in on]))
+
+
 # --- ordered neighbours ----------------------------------------------------------------------------
 
 def bracket(points: DataFrame, knots: DataFrame, by: Sequence[str], q: str, x: str, values: Sequence[str]) -> DataFrame:
@@ -164,6 +230,43 @@ def range_join(rows: DataFrame, queries: DataFrame, by: Sequence[str], bands: Ma
     return paired.drop(*[k for k in keys if k.startswith("_cell")])
 
 
+def range_aggregate(rows: DataFrame, queries: DataFrame, by: Sequence[str], bands: Mapping[str, tuple[str, Column, float]], value: str, query_id: str, parts: int = 4) -> DataFrame:
+    """Per query the number of rows within its bands, and the sum, least and largest of their ``value``: query_id, n, total, lo, hi.
+
+    Cells are ``parts`` times finer than the largest band. Rows are first folded into one line a cell, so a hot cell crosses the
+    shuffle once; cells that lie inside a query's bands in every dimension count as wholes, and only the cells on its border
+    list their rows. A query without rows has n = 0 and nulls.
+    """
+    names = list(bands)
+    by = list(by)
+    cells = [f"_cell{i}" for i in range(len(names))]
+    width = {c: bands[c][2] / parts for c in names}
+    left = rows.select(*by, *[F.col(c).cast("double").alias(c) for c in names], F.col(value).cast("double").alias("_v"), *[F.floor(F.col(c) / width[c]).alias(k) for c, k in zip(names, cells)])
+    keep = None
+    for c in names:
+        ok = F.col(c).isNotNull() & ~F.isnan(c)
+        keep = ok if keep is None else keep & ok
+    left = left.filter(keep)
+    sums = left.groupBy(*by, *cells).agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("total"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    asked = queries.select(F.col(query_id).alias("_q"), *by, *[e for i, c in enumerate(names) for e in ((F.col(bands[c][0]) - bands[c][1]).alias(f"_lo{i}"), (F.col(bands[c][0]) + bands[c][1]).alias(f"_hi{i}"))])
+    looked, inner = asked, F.lit(True)
+    for i, (c, k) in enumerate(zip(names, cells)):
+        looked = looked.withColumn(k, F.explode(F.sequence(F.floor(F.col(f"_lo{i}") / width[c]), F.floor(F.col(f"_hi{i}") / width[c]))))
+        # a cell strictly between the cells of both ends is inside, whatever rounding does to the ends
+        inner = inner & (F.col(k) > F.floor(F.col(f"_lo{i}") / width[c])) & (F.col(k) < F.floor(F.col(f"_hi{i}") / width[c]))
+    looked = looked.withColumn("_inner", inner)
+    whole = looked.filter("_inner").select("_q", *by, *cells).join(sums, [*by, *cells]).select("_q", "n", "total", "lo", "hi")
+    within = None
+    for i, c in enumerate(names):
+        near = F.col(c).between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
+        within = near if within is None else within & near
+    # border cells without rows are dropped before rows are listed
+    border = looked.filter(~F.col("_inner")).join(sums.select(*by, *cells), [*by, *cells], "left_semi")
+    listed = left.join(border, [*by, *cells]).filter(within).select("_q", F.lit(1).cast("long").alias("n"), F.col("_v").alias("total"), F.col("_v").alias("lo"), F.col("_v").alias("hi"))
+    found = whole.unionByName(listed).groupBy("_q").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return (asked.select("_q").join(found, "_q", "left").select(F.col("_q").alias(query_id), F.coalesce("n", F.lit(0)).alias("n"), "total", "lo", "hi"))
+
+
 def best_by_priority(rows: DataFrame, keys: Sequence[str], role: Column, priority: Sequence[str], usable: Column,
                      tie: Sequence[str]) -> DataFrame:
     """One row per key: the usable row whose role comes first in ``priority``, other roles after, then ``tie``.

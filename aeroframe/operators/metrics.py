@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from aeroframe.functions.bands import covered_95
 from aeroframe.functions.grids import N_STATIONS, on_cosine_grid
 from aeroframe.functions.physics import dynamic_pressure, relative_error
-from aeroframe.operators.ordering import exact_quantiles, join_null_safe, spearman, value_splits
+from aeroframe.operators.ordering import exact_quantiles, join_null_safe, selected_quantiles, spearman, value_splits
 from aeroframe.operators.resample import station_array
 from aeroframe.session import written
 
@@ -126,9 +126,7 @@ def error_criterion(df: DataFrame, groups: Sequence[str], true: str, integrated:
     rows = df.select(*groups, F.abs(F.col(integrated) - F.col(true)).alias("gap"), relative_error(F.col(true), F.col(integrated)).alias("rel"))
     rows = written(rows, "criterion-rows")
     base = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.avg("rel").alias("mean_rel"), share(F.col("rel") > TAIL_FACTOR * limit).alias("tail_fraction"))
-    cuts = value_splits(rows, ["rel", "gap"])
-    out = join_null_safe(base, exact_quantiles(rows, groups, "rel", {"median_rel": 0.5, "p95_rel": 0.95}, cuts["rel"]), groups)
-    out = join_null_safe(out, exact_quantiles(rows, groups, "gap", {"median_abs": 0.5}, cuts["gap"]), groups)
+    out = join_null_safe(base, selected_quantiles(rows, groups, {"rel": {"median_rel": 0.5, "p95_rel": 0.95}, "gap": {"median_abs": 0.5}}), groups)
     return out.withColumn("passed", (F.col("median_rel") <= limit) & (F.col("tail_fraction") <= TAIL_FRACTION))
 
 
@@ -176,19 +174,14 @@ def family_summary(predictions: DataFrame, groups: Sequence[str]) -> DataFrame:
                                      share(covered_95("Cl")).alias("_c1"), share(covered_95("Cd")).alias("_c2"))
     base = base.withColumn("coverage_95", F.when(F.col("_c1").isNull(), F.col("_c2")).when(F.col("_c2").isNull(), F.col("_c1"))
                            .otherwise((F.col("_c1") + F.col("_c2")) / 2)).drop("_c1", "_c2")
-    cuts = value_splits(rows, ["dCl", "dCd"])
-    out = join_null_safe(base, exact_quantiles(rows, groups, "dCl", {"median_abs_dCl": 0.5}, cuts["dCl"]), groups)
-    return join_null_safe(out, exact_quantiles(rows, groups, "dCd", {"median_dCd_pct": 0.5, "p90_dCd_pct": 0.9}, cuts["dCd"]), groups)
+    return join_null_safe(base, selected_quantiles(rows, groups, {"dCl": {"median_abs_dCl": 0.5}, "dCd": {"median_dCd_pct": 0.5, "p90_dCd_pct": 0.9}}), groups)
 
 
 def agreement_summary(deltas: DataFrame, groups: Sequence[str], dcl: str = "dCl", dcd: str = "dCd_pct") -> DataFrame:
     """Median and mean of absolute deltas, and the signed median of the drag delta, per reference source."""
     rows = written(deltas.select(*groups, F.abs(dcl).alias("a"), F.abs(dcd).alias("b"), F.col(dcd).alias("c")), "agreement-rows")
     base = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_abs_dCl"), F.avg("b").alias("mean_abs_dCd"))
-    cuts = value_splits(rows, ["a", "c"])
-    for column, name in (("a", "median_abs_dCl"), ("c", "median_dCd")):
-        base = join_null_safe(base, exact_quantiles(rows, groups, column, {name: 0.5}, cuts[column]), groups, "left")
-    return base
+    return join_null_safe(base, selected_quantiles(rows, groups, {"a": {"median_abs_dCl": 0.5}, "c": {"median_dCd": 0.5}}), groups, "left")
 
 
 def sweep_kpis(sweep: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ windows over a whole group run on those summaries, of which a group has at most
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -140,36 +140,55 @@ def _cell_starts(cells: DataFrame, groups: Sequence[str], cell: str = "_b") -> D
 
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: dict[str, float],
                     cuts: Sequence[float] | None = None) -> DataFrame:
-    """Linear-interpolated exact quantiles per group, named by the keys of ``probs``.
+    """Linear-interpolated exact quantiles of one column per group, named by the keys of ``probs``."""
+    return selected_quantiles(df, groups, {value: probs}, None if cuts is None else {value: cuts})
 
-    Cells are counted first (map-side combined); only rows of the few cells that hold a wanted position are
-    then ordered, and equal values among them are combined before the shuffle.
+
+def long_cells(df: DataFrame, groups: Sequence[str], cuts: Mapping[str, Sequence[float]]) -> DataFrame:
+    """groups, _c (which column), _b (cell), _v: one row for each non-null value of each column of ``cuts``."""
+    celled = df.select(*groups, *[F.col(c).alias(f"_v{i}") for i, c in enumerate(cuts)])
+    for i, cut in enumerate(cuts.values()):
+        celled = add_bucket(celled, f"_v{i}", cut, f"_b{i}")
+    items = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(f"_b{i}").alias("_b"), F.col(f"_v{i}").cast("double").alias("_v")) for i in range(len(cuts))])
+    return celled.select(*groups, F.explode(items).alias("_i")).select(*groups, "_i.*").filter(F.col("_v").isNotNull())
+
+
+def selected_quantiles(df: DataFrame, groups: Sequence[str], wanted: Mapping[str, Mapping[str, float]], cuts: Mapping[str, Sequence[float]] | None = None) -> DataFrame:
+    """Linear-interpolated exact quantiles of several columns at once: one row per group, a column per name.
+
+    ``wanted`` maps a column to its names and probabilities. One pass counts the cells of all columns (map-side combined); a second
+    keeps the values of the few cells that hold a wanted position, equal ones combined before the shuffle, and
+    orders those. A group without a value in any column has no row; one without values in a column has nulls there.
     """
-    groups = list(groups)
-    present = df.select(*groups, value).filter(F.col(value).isNotNull())
-    cuts = value_splits(present, [value])[value] if cuts is None else cuts
-    celled = add_bucket(present, value, cuts)
-    starts = _cell_starts(celled.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_cell")), groups)
-    place = {name: F.lit(float(q)) * (F.col("total") - 1) for name, q in probs.items()}
-    ends = [f(p) for p in place.values() for f in (F.floor, F.ceil)]
-    wanted = None
-    for i in ends:
-        here = (F.col("_start") <= i) & (i < F.col("_start") + F.col("_cell"))
-        wanted = here if wanted is None else wanted | here
-    held = join_null_safe(celled, starts.filter(wanted).drop("_cell"), [*groups, "_b"])
-    counts = held.groupBy(*groups, "_b", value).agg(F.count(F.lit(1)).alias("n"), F.first("_start").alias("_start"), F.first("total").alias("total"))
-    within = Window.partitionBy(*groups, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    groups, columns = list(groups), list(wanted)
+    cuts = {c: cuts[c] for c in columns} if cuts else value_splits(df.select(*columns), columns)
+    long = long_cells(df, groups, cuts)
+    by = [*groups, "_c"]
+    starts = _cell_starts(long.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_cell")), by)
+
+    def inside(i: int, index: Column, start: str, size: str) -> Column:
+        return (F.col("_c") == i) & (F.col(start) <= index) & (index < F.col(start) + F.col(size))
+
+    places = [(i, name, float(q)) for i, c in enumerate(columns) for name, q in wanted[c].items()]
+    index = lambda q, f: f(F.lit(q) * (F.col("total") - 1))
+    here = None
+    for i, _, q in places:
+        for f in (F.floor, F.ceil):
+            one = inside(i, index(q, f), "_start", "_cell")
+            here = one if here is None else here | one
+    held = join_null_safe(long, starts.filter(here).drop("_cell"), [*by, "_b"])
+    counts = held.groupBy(*by, "_b", "_v").agg(F.count(F.lit(1)).alias("n"), F.first("_start").alias("_start"), F.first("total").alias("total"))
+    within = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.withColumn("before", F.col("_start") + F.coalesce(F.sum("n").over(within), F.lit(0)))
     aggs, outs = [], []
-    for name, q in probs.items():
+    for i, name, q in places:
         for side, f in (("lo", F.floor), ("hi", F.ceil)):
-            index = f(F.lit(float(q)) * (F.col("total") - 1))
-            here = (F.col("before") <= index) & (index < F.col("before") + F.col("n"))
-            aggs.append(F.max(F.when(here, F.col(value).cast("double"))).alias(f"_{name}_{side}"))
+            aggs.append(F.max(F.when(inside(i, index(q, f), "before", "n"), F.col("_v"))).alias(f"_{name}_{side}"))
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        at = F.lit(float(q)) * (F.col("_total") - 1)
+        at = F.lit(q) * (F.col(f"_total{i}") - 1)
         outs.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
-    return placed.groupBy(*groups).agg(*aggs, F.max("total").alias("_total")).select(*groups, *outs)
+    totals = [F.max(F.when(F.col("_c") == i, F.col("total"))).alias(f"_total{i}") for i in range(len(columns))]
+    return placed.groupBy(*groups).agg(*aggs, *totals).select(*groups, *outs)
 
 
 def average_ranks(df: DataFrame, groups: Sequence[str], value: str, out: str, cuts: Sequence[float] | None = None) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from aeroframe.functions.physics import WALL_NU, dynamic_pressure
+from aeroframe.operators.joins import likely_in
 
 
 def _around() -> tuple:
@@ -26,22 +29,31 @@ def previous_on_loop(c: str) -> Column:
     return F.coalesce(F.lag(c).over(loop), F.last(c).over(whole))
 
 
-def triangles_at(triangles: DataFrame, wall: DataFrame) -> DataFrame:
-    """Incidences (triangle, wall node): the early filter that leaves about 1 % of the mesh."""
+def triangles_at(triangles: DataFrame, wall: DataFrame, sparse: bool = False) -> DataFrame:
+    """Incidences (triangle, wall node): the early filter that leaves about 1 % of the mesh.
+
+    With ``sparse`` (for a wall that is written or cut) most other corners are dropped before anything is shuffled."""
     corners = triangles.withColumn("node_id", F.explode(F.array("n0", "n1", "n2")))
+    if sparse:
+        corners = likely_in(corners, wall, ["sample_id", "node_id"])
     return corners.join(wall.select("sample_id", "node_id"), ["sample_id", "node_id"], "left_semi")
 
 
-def wall_gradients(nodes: DataFrame, triangles: DataFrame, wall: DataFrame) -> DataFrame:
+def wall_gradients(nodes: DataFrame, triangles: DataFrame, wall: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Velocity gradient at wall nodes: per-triangle linear gradient, averaged by triangle area.
 
     The node table is shuffled once: corners of the triangles at the wall are looked up together and
-    brought back to one row per triangle.
+    brought back to one row per triangle. With ``keep`` (a cut of lineage, the wall being cut too) the incidences are computed
+    once, and neither triangles nor nodes that have nothing to do with the wall are shuffled.
     """
-    touching = triangles_at(triangles, wall)
+    touching = triangles_at(triangles, wall, sparse=keep is not None)
+    touching = keep(touching) if keep else touching
     kept = touching.select("sample_id", "tri_id", "n0", "n1", "n2").distinct()
     corner = kept.select("sample_id", "tri_id", F.posexplode(F.array("n0", "n1", "n2")).alias("k", "node_id"))
-    valued = corner.join(nodes.select("sample_id", "node_id", "x", "y", "ux", "uy"), ["sample_id", "node_id"])
+    values = nodes.select("sample_id", "node_id", "x", "y", "ux", "uy")
+    if keep:
+        values = likely_in(values, touching.select("sample_id", F.explode(F.array("n0", "n1", "n2")).alias("node_id")), ["sample_id", "node_id"])
+    valued = corner.join(values, ["sample_id", "node_id"])
     aggs = [F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in range(3) for c in ("x", "y", "ux", "uy")]
     tri = valued.groupBy("sample_id", "tri_id").agg(*aggs)
     two_a = ((F.col("x1") - F.col("x0")) * (F.col("y2") - F.col("y0")) - (F.col("x2") - F.col("x0")) * (F.col("y1") - F.col("y0")))
@@ -97,9 +109,9 @@ def wall_shear(nu: float = WALL_NU) -> dict[str, Column]:
             "tau_y": two_nu * (sxy * F.col("normal_x") + (F.col("duy_dy") - third) * F.col("normal_y"))}
 
 
-def wall_stress(nodes: DataFrame, triangles: DataFrame, loop: DataFrame, nu: float = WALL_NU) -> DataFrame:
+def wall_stress(nodes: DataFrame, triangles: DataFrame, loop: DataFrame, nu: float = WALL_NU, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Loop rows with normals, gradients and the shear vector."""
-    grad = wall_gradients(nodes, triangles, loop)
+    grad = wall_gradients(nodes, triangles, loop, keep)
     return loop_normals(loop).join(grad, ["sample_id", "node_id"]).withColumns(wall_shear(nu))
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import glob
+import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,6 +56,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def one_thread_algebra() -> None:
+    """Let numpy's linear algebra run in the calling thread of this process.
+
+    The driver's matrices are small, and its pool of algebra threads can wait forever in a process that talks to a JVM: an inverse of
+    207 rows was seen to never return. Without OpenBLAS in numpy's own folder this does nothing."""
+    folder = os.path.join(os.path.dirname(os.path.dirname(np.__file__)), "numpy.libs")
+    for path in glob.glob(os.path.join(folder, "*openblas*.so*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as Parquet in the shared folder, read again: several passes over a derived table read its columns, not its sources."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/aeroframe/{name}-{uuid.uuid4().hex}"
