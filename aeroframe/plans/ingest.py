@@ -25,13 +25,16 @@ class Ingested:
 
 
 def wall_table(samples: DataFrame, nodes: DataFrame, triangles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(wall, section frame, errors).  Only wall-sized tables are cut; the mesh is never copied."""
+    """(wall, section frame, errors).  Only wall-sized tables are cut; the mesh is never copied.
+
+    The triangles are shuffled once, for their edges. Everything else is looked up from the mesh tables through
+    filters of wall-sized keys, so that no other shuffle grows with the mesh."""
     loop, errors = topology.wall_loops(nodes, triangles, cut_lineage)
     loop = cut_lineage(loop)
     seen = loop.select("sample_id").unionByName(errors.select("sample_id"))
     errors = errors.unionByName(samples.select("sample_id").distinct().join(seen, "sample_id", "left_anti").select("sample_id", F.lit("no wall edges").alias("error")))
     frame = cut_lineage(section.section_frame(loop))
-    stressed = wallflow.wall_stress(nodes, triangles, loop)
+    stressed = wallflow.wall_stress(nodes, triangles, loop, keep=cut_lineage)
     placed = stressed.join(section.wall_frame(frame), ["sample_id", "pos"]).join(samples.select("sample_id", "u_inf"), "sample_id")
     wall = placed.withColumns(wallflow.wall_coefficients(F.col("u_inf"))).select(
         "sample_id", "pos", "node_id", "x", "y", "p", "tau_x", "tau_y", "t_x", "t_y", "x_c", "upper", "u_inf", "cp", "cf")
@@ -62,7 +65,7 @@ def dataset_gate(dataset: DataFrame, curves: DataFrame, n_expected: int) -> Data
 
 def inspection_rows(samples: DataFrame, nodes: DataFrame, triangles: DataFrame) -> DataFrame:
     """One row per sample for the inspection gate: conditions, wall size and distance, element kinds."""
-    edges = cut_lineage(topology.wall_edges(nodes, triangles))
+    edges = cut_lineage(topology.wall_edges(nodes, triangles, cut_lineage))
     on_wall = topology.wall_nodes(edges).join(nodes.select("sample_id", "node_id", "implicit_distance"), ["sample_id", "node_id"])
     walls = on_wall.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_wall"), F.max(F.abs("implicit_distance")).alias("wall_distance"))
     names = [c for c in nodes.columns if c in ("p", "ux", "uy", "nut")]

@@ -509,8 +509,8 @@ def fold_assignment(spark, sf):
 
 
 MEMBER_SQL = """
-WITH a AS (SELECT o_orderpriority AS name, o_custkey AS sample_id FROM orders WHERE o_orderstatus <> 'P'),
-b AS (SELECT o_orderpriority AS name, o_custkey AS sample_id FROM orders WHERE o_orderstatus <> 'P' AND (o_orderpriority <> '2-HIGH' OR o_totalprice > 100000.0))
+WITH a AS (SELECT o_orderpriority || '/' || o_orderstatus AS name, o_custkey AS sample_id FROM orders),
+b AS (SELECT o_orderpriority || '/' || o_orderstatus AS name, o_custkey AS sample_id FROM orders WHERE o_orderpriority <> '2-HIGH' OR o_totalprice > 100000.0)
 """
 
 
@@ -518,8 +518,8 @@ b AS (SELECT o_orderpriority AS name, o_custkey AS sample_id FROM orders WHERE o
   n AS (SELECT DISTINCT name FROM a)
 SELECT n.name, coalesce(x.n, 0) AS only_a, coalesce(y.n, 0) AS only_b, coalesce(x.n, 0) = 0 AND coalesce(y.n, 0) = 0 AS same FROM n LEFT JOIN x ON n.name = x.name LEFT JOIN y ON n.name = y.name""")
 def membership_equality(spark, sf):
-    o = table(spark, sf, "orders").filter(F.col("o_orderstatus") != "P")
-    named = lambda d: d.select(F.col("o_orderpriority").alias("name"), F.col("o_custkey").alias("sample_id"))
+    o = table(spark, sf, "orders")
+    named = lambda d: d.select(F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("name"), F.col("o_custkey").alias("sample_id"))
     return splits.same_membership(named(o), named(o.filter((F.col("o_orderpriority") != "2-HIGH") | (F.col("o_totalprice") > 100000.0))))
 
 
