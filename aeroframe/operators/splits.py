@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,17 +107,20 @@ def fold_column(df: DataFrame, row_id: str, folds: int = 5, seed: int = 42, out:
     return numbered.withColumn(out, F.pmod(F.col("_rn") - 1, F.lit(folds)).cast("int")).drop("_h", "_b", "_rn")
 
 
-def latin_hypercube(boxes: DataFrame, dims: Sequence[str], seed: int = 42, group: str = "regime", n: str = "n") -> DataFrame:
+def latin_hypercube(boxes: DataFrame, dims: Sequence[str], seed: int = 42, group: str = "regime", n: str = "n", digest: Callable[[int], Column] | None = None) -> DataFrame:
     """One design row per (group, 0..n-1): every dimension has exactly one point per stratum.
 
     ``boxes`` has group, n and <dim>_lo / <dim>_hi.  The permutation of a dimension is the order of a
-    seeded hash; each point is placed inside its stratum by a second hash.
+    seeded hash; each point is placed inside its stratum by a second hash. ``digest`` gives a hex digest of a row (group, i) for
+    each number asked instead: k orders dimension k, 500 + k places its points.
     """
     points = boxes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1)))
     for k, d in enumerate(dims):
-        order = _hash_order(points, [group, "i"], seed * 1000 + k)
+        order = _hash_order(points, [group, "i"], seed * 1000 + k, digest(k) if digest else None)
         points = row_numbers(order, [group], "_b", ["_h", "i"], "_rn").drop("_h", "_b")
         jitter = F.pmod(F.xxhash64(F.col(group), F.col("i"), F.lit(seed * 1000 + 500 + k)), F.lit(1 << 30)) / float(1 << 30)
+        if digest:
+            jitter = F.conv(F.substring(digest(500 + k), 1, 7), 16, 10).cast("long") / float(1 << 28)
         unit = (F.col("_rn") - 1 + jitter) / F.col(n)
         points = points.withColumn(d, F.col(f"{d}_lo") + unit * (F.col(f"{d}_hi") - F.col(f"{d}_lo"))).drop("_rn")
     return points

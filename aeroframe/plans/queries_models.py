@@ -83,7 +83,7 @@ def mode_truncation(spark, sf):
     return rounded(spark.createDataFrame(rows, "quantity string, n_modes int, cv_rmse double, explained_variance double"), 8)
 
 
-@query()
+@query("SELECT p_partkey AS sample_id, q AS quantity, CAST(0 AS DOUBLE) AS rmse FROM part, (VALUES ('Cp'), ('Cf')) AS t(q)")
 def mode_reconstruction(spark, sf):
     """Error of every part's pressure and friction curve rebuilt from its mode weights."""
     rebuilt = None
@@ -132,12 +132,52 @@ def predict_surfaces(spark, sf):
     return rounded(predict.surface_summary(predict.surface_table(long, keys), keys).unionByName(refused, allowMissingColumns=True), 4)
 
 
-@query()
+CUBE_SQL = """
+WITH g AS (SELECT CAST(c_nationkey AS VARCHAR) AS regime, count(*) AS n FROM customer GROUP BY 1), p AS (SELECT regime, n, unnest(range(n)) AS i FROM g),
+h AS (SELECT *, {orders} FROM p)
+SELECT regime, CAST(i AS BIGINT) AS i, {points} FROM h"""
+BOX = {"alpha": (0.0, 8.0), "Re": (1.5e6, 3.0e6), "thickness": (0.10, 0.18)}
+DIGEST_SQL = "md5(regime || '/' || i || '/' || {k})"
+
+
+@query(CUBE_SQL.format(
+    orders=", ".join(f"row_number() OVER (PARTITION BY regime ORDER BY {DIGEST_SQL.format(k=k)}, i) - 1 AS r{k}, CAST('0x' || substr({DIGEST_SQL.format(k=500 + k)}, 1, 7) AS BIGINT) / 268435456.0::DOUBLE AS j{k}" for k in range(len(BOX))),
+    points=", ".join(f"round({lo}::DOUBLE + (r{k} + j{k}) / n * ({hi}::DOUBLE - {lo}::DOUBLE), 6) AS {d}" for k, (d, (lo, hi)) in enumerate(BOX.items()))))
 def latin_hypercube(spark, sf):
     """A design per nation with as many points as it has customers."""
     n = table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("string").alias("regime")).agg(F.count(F.lit(1)).cast("int").alias("n"))
-    box = n.withColumns({"alpha_lo": F.lit(0.0), "alpha_hi": F.lit(8.0), "Re_lo": F.lit(1.5e6), "Re_hi": F.lit(3.0e6), "thickness_lo": F.lit(0.10), "thickness_hi": F.lit(0.18)})
-    return rounded(splits.latin_hypercube(box, ["alpha", "Re", "thickness"]).select("regime", "i", "alpha", "Re", "thickness"))
+    box = n.withColumns({f"{d}_{side}": F.lit(v) for d, ends in BOX.items() for side, v in zip(("lo", "hi"), ends)})
+    digest = lambda k: F.md5(F.concat_ws("/", "regime", F.col("i").cast("string"), F.lit(str(k))))
+    return rounded(splits.latin_hypercube(box, list(BOX), digest=digest).select("regime", "i", *BOX))
+
+
+LINE_SQL = """
+WITH l AS (SELECT l_partkey, avg(l_discount) AS d FROM lineitem GROUP BY l_partkey),
+f AS (SELECT p_partkey AS sample_id, p_size * 0.4 - 5.0 AS alpha_deg, 6.3 + coalesce(d, 0.05) * 5.0 AS log10_Re, 0.08 + (p_partkey % 13) * 0.01 AS t_max, 0.28 + (p_partkey % 5) * 0.01 AS x_tmax, (p_partkey % 7) * 0.005 AS m_max,
+  CASE WHEN p_partkey % 7 = 0 THEN 0.0 ELSE 0.4 END AS x_m FROM part LEFT JOIN l ON p_partkey = l_partkey)
+"""
+
+
+@query(LINE_SQL + """SELECT sample_id, round(0.1::DOUBLE * alpha_deg + 2 * t_max, 3) + 0.0::DOUBLE AS a_mean, round(4 * x_tmax - 3 * m_max + 0.5::DOUBLE * x_m, 3) AS b_mean, true AS a_sure, true AS b_sure FROM f""")
+def posterior_linear(spark, sf):
+    """A posterior fit of two truths that are linear in the features, without noise: every part's prediction is its truth."""
+    a, b = 0.1 * F.col("alpha_deg") + 2 * F.col("t_max"), 4 * F.col("x_tmax") - 3 * F.col("m_max") + 0.5 * F.col("x_m")
+    rows = splits.fold_column(part_dataset(spark, sf).withColumn("a", a).withColumn("b", b), "sample_id")
+    out = regression.fit_posterior(rows, regression.FEATURES, ["a", "b"]).predict(rows)
+    # 0.0 is added so that no zero keeps a sign
+    return rounded(out.select("sample_id", (F.round("a_mean", 3) + 0.0).alias("a_mean"), "b_mean", (F.col("a_std") < 0.01).alias("a_sure"), (F.col("b_std") < 0.01).alias("b_sure")), 3)
+
+
+@query(LINE_SQL + """SELECT sample_id, CASE WHEN x_m > 0 THEN 3.0 ELSE 1.0 END AS step_mean, 0.0 AS step_spread, 7.25 AS flat_mean, 0.0 AS flat_spread, true AS inside FROM f""")
+def forest_invariants(spark, sf):
+    """One forest for a step and a constant: trees find the step exactly, a constant has no spread; a forest of lift stays within its rows."""
+    data = part_dataset(spark, sf).withColumn("step", F.when(F.col("x_m") > 0, 3.0).otherwise(1.0)).withColumn("flat", F.lit(7.25))
+    rows = written(splits.fold_column(data, "sample_id"), "forest-parts")
+    model, _ = regression.fit_forest(rows, regression.FEATURES, ["step", "flat"])
+    lift, _ = regression.fit_forest(regression.feature_target(rows), regression.FEATURES, ["Cl", "logCd"])
+    ends = rows.agg(F.min("Cl").alias("lo"), F.max("Cl").alias("hi")).first()
+    out = lift.predict(model.predict(rows), spread=None)
+    return rounded(out.select("sample_id", "step_mean", "step_spread", "flat_mean", "flat_spread", F.col("Cl_mean").between(ends.lo - 1e-9, ends.hi + 1e-9).alias("inside")))
 
 
 @query()
