@@ -81,6 +81,39 @@ def schema_summary(nodes: DataFrame, triangles: DataFrame) -> DataFrame:
     return box.join(triangles.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_triangles"), F.bool_and(whole).alias("triangles_only")), "sample_id", "left")
 
 
+def sample_details(samples: DataFrame, nodes: DataFrame, triangles: DataFrame, n: int = 3) -> DataFrame:
+    """Detail of the ``n`` samples that come first: one line per scalar and per node field, with its range, and the sample's sizes.
+
+    sample_id, kind ('scalar' or 'field'), name, lo, hi, n_nodes, n_triangles. The mesh tables are cut to those samples before anything else."""
+    first = samples.orderBy("sample_id").limit(n)
+    keys = F.broadcast(first.select("sample_id"))      # n rows
+    mesh, faces = nodes.join(keys, "sample_id", "left_semi"), triangles.join(keys, "sample_id", "left_semi")
+    fields = [c for c in nodes.columns if c not in ("sample_id", "node_id")]
+    scalars = [c for c in samples.columns if c != "sample_id"]
+    ends = mesh.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_nodes"), *[f(c).cast("double").alias(f"_{p}_{c}") for c in fields for p, f in (("lo", F.min), ("hi", F.max))])
+    lines = F.array(*[F.struct(F.lit("scalar").alias("kind"), F.lit(c).alias("name"), F.col(f"_s_{c}").alias("lo"), F.col(f"_s_{c}").alias("hi")) for c in scalars],
+                    *[F.struct(F.lit("field").alias("kind"), F.lit(c).alias("name"), F.col(f"_lo_{c}").alias("lo"), F.col(f"_hi_{c}").alias("hi")) for c in fields])
+    sizes = faces.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_triangles"))
+    wide = first.select("sample_id", *[F.col(c).cast("double").alias(f"_s_{c}") for c in scalars]).join(ends, "sample_id", "left").join(sizes, "sample_id", "left")
+    return wide.select("sample_id", F.explode(lines).alias("_l"), F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), F.coalesce("n_triangles", F.lit(0)).alias("n_triangles")).select("sample_id", "_l.*", "n_nodes", "n_triangles")
+
+
+def name_sets(samples: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct names over all samples that hold at least one value: kind, name, n_values (of the schema's columns, in one pass each)."""
+    out = None
+    for kind, df, skip in (("scalar", samples, ("sample_id",)), ("field", nodes, ("sample_id", "node_id"))):
+        names = [c for c in df.columns if c not in skip]
+        counts = df.agg(*[F.count(c).alias(c) for c in names])
+        part = counts.select(F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("name"), F.col(c).alias("n_values")) for c in names])).alias("_n")).select("_n.*")
+        out = part if out is None else out.unionByName(part)
+    return out.filter(F.col("n_values") > 0)
+
+
+def split_sizes(membership: DataFrame, split: Sequence[str] = ("task", "role"), row: str = "sample_id") -> DataFrame:
+    """Rows, least and largest row id of every split."""
+    return membership.groupBy(*split).agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("min_id"), F.max(row).alias("max_id"))
+
+
 def duplicate_keys() -> list[Column]:
     """Rounding of the repeat test, half to even: angle to 1e-3, Re to 1e3, features to 1e-5."""
     return [F.bround("alpha_deg", 3), F.bround(F.col("Re") / 1e3, 0), *[F.bround(c, 5) for c in ("t_max", "x_tmax", "m_max", "x_m")]]

@@ -160,6 +160,40 @@ def schema_summary(spark, sf):
     return rounded(quality.schema_summary(nodes, tri))
 
 
+DETAIL_SQL = MESH_SQL + """, s AS (SELECT s_suppkey AS sample_id, 0.06 + s_nationkey * 0.002 AS h, s_acctbal / 10000.0 AS b, s_acctbal / 100000.0 + 0.05 AS alpha_rad, 40.0 + s_nationkey AS u_inf,
+  s_acctbal / 10000.0 * 2.0 AS cl, s_acctbal / 10000.0 * (s_acctbal / 10000.0) + 0.01 AS cd FROM supplier),
+f AS (SELECT sample_id, node_id, x, y, w AS implicit_distance, p, ux, uy, 0.0 AS nut FROM nodes)"""
+
+
+@query(DETAIL_SQL + """, t AS (SELECT * FROM s ORDER BY sample_id LIMIT 3),
+u AS (SELECT 'scalar' AS kind, name, sample_id, v AS lo, v AS hi FROM (SELECT sample_id, h::DOUBLE AS h, b::DOUBLE AS b, alpha_rad::DOUBLE AS alpha_rad, u_inf::DOUBLE AS u_inf, cl::DOUBLE AS cl, cd::DOUBLE AS cd FROM t)
+    UNPIVOT (v FOR name IN (h, b, alpha_rad, u_inf, cl, cd))
+  UNION ALL SELECT 'field', name, sample_id, min(v), max(v) FROM (SELECT sample_id, x::DOUBLE AS x, y::DOUBLE AS y, implicit_distance::DOUBLE AS implicit_distance, p::DOUBLE AS p, ux::DOUBLE AS ux, uy::DOUBLE AS uy, nut::DOUBLE AS nut FROM f
+    WHERE sample_id IN (SELECT sample_id FROM t)) UNPIVOT (v FOR name IN (x, y, implicit_distance, p, ux, uy, nut)) GROUP BY name, sample_id)
+SELECT sample_id, kind, name, round(lo, 6) + 0.0 AS lo, round(hi, 6) + 0.0 AS hi, (SELECT count(*) FROM f WHERE f.sample_id = u.sample_id) AS n_nodes, (SELECT count(*) FROM tri WHERE tri.sample_id = u.sample_id) AS n_triangles FROM u""")
+def sample_details(spark, sf):
+    """Scalars and field ranges of the three meshes that come first."""
+    out = rounded(quality.sample_details(*meshes(spark, sf)))
+    return out.withColumns({c: F.col(c) + 0.0 for c in ("lo", "hi")})
+
+
+@query(DETAIL_SQL + """SELECT 'scalar' AS kind, name, count(*) AS n_values FROM (SELECT h::DOUBLE AS h, b::DOUBLE AS b, alpha_rad::DOUBLE AS alpha_rad, u_inf::DOUBLE AS u_inf, cl::DOUBLE AS cl, cd::DOUBLE AS cd FROM s)
+    UNPIVOT (v FOR name IN (h, b, alpha_rad, u_inf, cl, cd)) GROUP BY name
+  UNION ALL SELECT 'field', name, count(*) FROM (SELECT x::DOUBLE AS x, y::DOUBLE AS y, implicit_distance::DOUBLE AS implicit_distance, p::DOUBLE AS p, ux::DOUBLE AS ux, uy::DOUBLE AS uy, nut::DOUBLE AS nut FROM f)
+    UNPIVOT (v FOR name IN (x, y, implicit_distance, p, ux, uy, nut)) GROUP BY name""")
+def name_sets(spark, sf):
+    """Scalar and field names that any mesh has."""
+    sup, nodes, _ = meshes(spark, sf)
+    return quality.name_sets(sup, nodes)
+
+
+@query("SELECT o_orderpriority AS task, o_orderstatus AS role, count(*) AS n, min(o_custkey) AS min_id, max(o_custkey) AS max_id FROM orders GROUP BY ALL")
+def split_sizes(spark, sf):
+    """Size and id range of every split."""
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("task"), F.col("o_orderstatus").alias("role"), F.col("o_custkey").alias("sample_id"))
+    return quality.split_sizes(o)
+
+
 @query("""
 WITH g AS (SELECT count(*) = (SELECT count(*) FROM supplier) AS n, bool_and(abs(s_acctbal / 100000.0 + 0.05) < 1.0 AND s_acctbal / 100000.0 + 0.05 > -0.0873 - 1e-3 AND s_acctbal / 100000.0 + 0.05 < 0.2618 + 1e-3) AS a,
   bool_and((40.0 + s_nationkey) / (-3.400747e-6 + 3.452139e-8 * 298.15 + 1.00881778e-10 * 298.15 * 298.15 - 1.363528e-14 * 298.15 * 298.15 * 298.15) BETWEEN 1.9e6 AND 6.1e6) AS re FROM supplier)
