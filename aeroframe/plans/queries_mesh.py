@@ -265,6 +265,25 @@ def ingest_dataset(spark, sf):
     return rounded(ingest_plan.ingest(sup.select("sample_id", "alpha_rad", "u_inf", "cl", "cd"), nodes, tri).dataset)
 
 
+TRUTH_SQL = """
+WITH s AS (SELECT s_suppkey AS sample_id, 0.06 + s_nationkey * 0.002 AS h, s_acctbal / 10000.0 AS b, s_acctbal / 100000.0 + 0.05 AS al, 40.0 + s_nationkey AS u FROM supplier),
+w AS (SELECT s.*, i, 0.5 + 0.5 * cos(2 * pi() * i / 64) AS x, h * sin(2 * pi() * i / 64) AS y FROM s, range(64) t(i)),
+p AS (SELECT *, x * x - y + b AS p FROM w),
+n AS (SELECT *, coalesce(lead(x) OVER o, first_value(x) OVER o) AS xn, coalesce(lead(y) OVER o, first_value(y) OVER o) AS yn, coalesce(lead(p) OVER o, first_value(p) OVER o) AS pn FROM p WINDOW o AS (PARTITION BY sample_id ORDER BY i)),
+f AS (SELECT sample_id, sum(-(p + pn) / 2 * (yn - y)) AS fx, sum((p + pn) / 2 * (xn - x)) AS fy FROM n GROUP BY sample_id)
+SELECT sample_id, round(degrees(al), 6) AS alpha_deg, CAST(u AS DOUBLE) AS U_inf, round(CAST(2 * h AS DOUBLE), 3) AS t_max, CAST(0.5 AS DOUBLE) AS x_tmax, true AS no_camber, CAST(64 AS BIGINT) AS n_wall_nodes,
+  round(CAST(2 * b AS DOUBLE), 6) AS Cl, round(CAST(b * b + 0.01 AS DOUBLE), 6) AS Cd, round(2 * (cos(al) * fx + sin(al) * fy) / (u * u) * 1e4, 5) + 0.0 AS Cd_int_p, round(2 * (cos(al) * fy - sin(al) * fx) / (u * u) * 1e4, 5) + 0.0 AS Cl_int_p FROM s JOIN f USING (sample_id)"""
+
+
+@query(TRUTH_SQL)
+def ingest_truth(spark, sf):
+    """The ingest of all suppliers' meshes against what their elliptic bodies are: thickness 2h at mid chord, no camber, forces of a polygon of 64 sides."""
+    sup, nodes, tri = meshes(spark, sf, 64, 6)
+    d = ingest_plan.ingest(sup.select("sample_id", "alpha_rad", "u_inf", "cl", "cd"), nodes, tri).dataset
+    return d.select("sample_id", r("alpha_deg").alias("alpha_deg"), "U_inf", r("t_max", 3).alias("t_max"), r("x_tmax", 2).alias("x_tmax"), (F.abs("m_max") < 1e-3).alias("no_camber"),
+                    F.col("n_wall_nodes").cast("bigint").alias("n_wall_nodes"), r("Cl").alias("Cl"), r("Cd").alias("Cd"), (r(F.col("Cd_int_p") * 1e4, 5) + 0.0).alias("Cd_int_p"), (r(F.col("Cl_int_p") * 1e4, 5) + 0.0).alias("Cl_int_p"))
+
+
 @query()
 def ingest_curves(spark, sf):
     """Meshes of all suppliers to wall curves on the station grid."""
