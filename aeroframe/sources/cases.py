@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +47,40 @@ def first_file_of(files: DataFrame, names: Sequence[str], path: str = "path") ->
     return files.withColumn("_rank", rank).filter(F.col("_rank") > 0).groupBy(case_of(F.col(path)).alias("case_id")).agg(F.min_by(path, "_rank").alias(path))
 
 
-def file_manifest(expected: DataFrame, files: DataFrame, root: str) -> DataFrame:
+#: Files above this are hashed in blocks of BLOCK_BYTES instead of as one value of a row.
+WHOLE_BYTES, BLOCK_BYTES = 256 << 20, 8 << 20
+
+
+def _stream_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        sums = []
+        for path in pdf["path"]:
+            # Spark's paths of local and mounted files keep spaces as they are, so they are no URIs
+            store, name = (pyarrow.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if path.startswith("file:") else pyarrow.fs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with store.open_input_stream(name) as source:
+                while block := source.read(BLOCK_BYTES):
+                    digest.update(block)
+            sums.append(digest.hexdigest())
+        yield pd.DataFrame({"path": pdf["path"], "sha256": sums, "size": pdf["length"]})
+
+
+def file_digests(files: DataFrame, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """path, SHA-256 and size of each file of a ``binaryFile`` table.
+
+    Small files are hashed where Spark reads them. Of larger ones only path and length are listed, and a task reads such a file block by
+    block (through pyarrow's file systems), so a file of any size takes bounded memory. Spark's scan skips files
+    without a byte: they have no row."""
+    small = files.filter(F.col("length") <= whole_bytes).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").cast("long").alias("size"))
+    large = files.select("path", "length").filter(F.col("length") > whole_bytes)
+    parts = files.sparkSession.sparkContext.defaultParallelism
+    return small.unionByName(large.repartition(parts, "path").mapInPandas(_stream_digests, "path string, sha256 string, size long"))
+
+
+def file_manifest(expected: DataFrame, files: DataFrame, root: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """Expected files (relpath, url) with status, SHA-256 and size; hashing runs where the file is read."""
     relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + root.rstrip("/") + "/", "")
-    found = files.select(relative.alias("relpath"), F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("size"))
+    found = file_digests(files, whole_bytes).select(relative.alias("relpath"), "sha256", "size")
     return expected.join(found, "relpath", "left").withColumn("status", F.when(F.col("sha256").isNull(), "missing").otherwise("present"))
 
 
