@@ -8,8 +8,8 @@
 3. Nodes of a posting meet its most central member, then the next ones. Collisions are counted in stretches of coordinates,
    and a pair is skipped once the rest can't lift it to ``least``; pairs that pass are confirmed on full sets. A posting whose members
    are all in one component is done. This makes one pair a member and round, never all pairs.
-4. What is left of larger postings is cut into blocks; two blocks are one small task, which compares members of different
-   components only and returns one link for each union it makes.
+4. What is left of larger postings is cut into blocks of bounded rows and shingles; two blocks are one task, which compares members
+   of different components only, tile by tile, and returns one link for each union it makes.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aeroframe.llm.components import components
+from aeroframe.llm.ngram_join import _intersections as intersections
 from aeroframe.llm.ngram_join import shingles
 from aeroframe.llm.text import flat, mix, small_batches, stored, tables, unused, word_hashes
 
@@ -181,33 +182,78 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.concat_tables(rest).combine_chunks()
 
 
-def _unions(t: pa.Table, coordinates: int, least: int, percent: int) -> Iterator[tuple[int, int]]:
-    tid, root, block = (t.column(c).to_numpy() for c in ("tid", "root", "block"))
+class Labels:
+    """Union of components within a task."""
+
+    def __init__(self, root: np.ndarray):
+        self.names, self.of = np.unique(root, return_inverse=True)
+        self.parent = np.arange(len(self.names))
+
+    def find(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def current(self) -> np.ndarray:
+        while (self.parent[self.parent] != self.parent).any():
+            self.parent = self.parent[self.parent]
+        return self.parent[self.of]
+
+    def join(self, x: int, y: int) -> bool:
+        a, b = self.find(self.of[x]), self.find(self.of[y])
+        self.parent[a] = b
+        return a != b
+
+
+def _unions(t: pa.Table, coordinates: int, least: int, percent: int, tile: int = 512) -> Iterator[tuple[int, int]]:
+    """Links between components of a task's nodes, one for each union, tile by tile.
+
+    Collisions of all pairs of a tile are counted first; only pairs that reach ``least`` and are not yet in one component go on, and
+    the sizes of their intersections are exact products of 0/1 matrices. A pair that shares an earlier posting is compared there."""
+    tid, block, key = (t.column(c).to_numpy() for c in ("tid", "block", "key"))
+    labels = Labels(t.column("root").to_numpy())
     sig = flat(t.column("sig"))[0].reshape(-1, coordinates)
     grams, at = flat(t.column("grams"))
-    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-    hits = np.zeros((len(tid), len(tid)), np.int16)
-    for c in range(coordinates):
-        hits += sig[:, None, c] == sig[None, :, c]
-    may = (hits >= least) & (root[:, None] != root[None, :])
-    if i != j:
-        may &= block[:, None] != block[None, :]     # pairs inside a block are compared where the block meets itself
-    label = {r: r for r in root.tolist()}
-
-    def find(r):
-        while label[r] != r:
-            label[r] = label[label[r]]
-            r = label[r]
-        return r
-
-    for x, y in zip(*np.nonzero(np.triu(may, 1)), strict=True):
-        a, b = find(int(root[x])), find(int(root[y]))
-        if a != b and alike(grams[at[x]:at[x + 1]], grams[at[y]:at[y + 1]], percent):
-            label[a] = b
-            yield int(tid[x]), int(tid[y])
-
-
-def node_roots(nodes: DataFrame, sets_of, coordinates: int, least: int, percent: int, rounds: int, block_rows: int) -> DataFrame:
+    across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+    keys, to = flat(t.column("keys"))
+    tiles = [np.arange(lo, min(lo + tile, len(tid))) for lo in range(0, len(tid), tile)]
+    for n, rows in enumerate(tiles):
+        for cols in tiles[n:]:
+            now = labels.current()
+            may = now[rows][:, None] != now[cols][None, :]
+            if across:
+                may &= block[rows][:, None] != block[cols][None, :]     # pairs inside a block are compared where the block meets itself
+            if not may.any():
+                continue
+            hits = np.zeros(may.shape, np.uint8 if coordinates < 256 else np.uint16)
+            for c in range(coordinates):
+                hits += sig[rows, c][:, None] == sig[cols, c][None, :]
+            may &= hits >= least
+            use = np.unique(np.concatenate([rows[may.any(axis=1)], cols[may.any(axis=0)]]))
+            if not len(use):
+                continue
+            may = may[np.ix_(np.isin(rows, use), np.isin(cols, use))]
+            x, y = np.flatnonzero(np.isin(use, rows)), np.flatnonzero(np.isin(use, cols))
+            mine = [keys[to[i]:to[i + 1]] for i in use]
+            earlier = [k[k < key[0]] for k in mine]
+            names, place = np.unique(np.concatenate(earlier), return_inverse=True)
+            if len(names):
+                m = np.zeros((len(use), len(names)), np.float32)
+                m[np.repeat(np.arange(len(use)), [len(e) for e in earlier]), place] = 1
+                may &= m[x] @ m[y].T == 0
+                if not may.any():
+                    continue
+            sets = [grams[at[i]:at[i + 1]] for i in use]
+            sizes = np.array([len(g) for g in sets], np.int64)
+            both = np.rint(intersections(sets)[np.ix_(x, y)]).astype(np.int64)
+            near = may & (100 * both >= percent * (sizes[x][:, None] + sizes[y][None, :] - both))
+            for p, q in zip(*np.nonzero(near), strict=True):
+                if labels.join(use[x[p]], use[y[q]]):
+                    yield int(tid[use[x[p]]]), int(tid[use[y[q]]])
+
+
+def node_roots(nodes: DataFrame, sets_of, coordinates: int, least: int, percent: int, rounds: int, block_rows: int, block_shingles: int) -> DataFrame:
     """id, root of every node that has a link; ``sets_of`` gives the full sets of a table of nodes."""
     members = postings(nodes, coordinates, least)
     sets = stored(sets_of(nodes.join(members.select("tid").distinct(), "tid").select("tid", "tk")), "near-sets")
@@ -233,20 +279,22 @@ def node_roots(nodes: DataFrame, sets_of, coordinates: int, least: int, percent:
     # pairs of the members that have led a posting are all compared; whoever is left there in different components meets in blocks
     open_keys = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     rest = members.join(open_keys, "key", "left_semi")
-    rest = stored(rest.join(alone(rest), "key", "left_semi"), "near-rest")
+    rest = stored(rest.join(alone(rest), "key", "left_semi").join(nodes.select("tid", "n"), "tid"), "near-rest")
     if rest.isEmpty():
         return roots
-    counts = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    counts = rest.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
+    own = rest.groupBy("tid").agg(F.collect_list("key").alias("keys"))      # no more than a node's prefix
     dealt = (rest.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("tid", F.lit(7)), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).withColumn("g", F.xxhash64("key", "i", "j")))
-    tasks = dealt.join(sig, "tid").join(sets, "tid").repartition("g").sortWithinPartitions("g").select("g", "i", "j", "block", "tid", "root", "sig", "grams")
+    bodies = own.join(sig.drop("n"), "tid").join(sets, "tid")
+    tasks = dealt.join(bodies, "tid").repartition("g").sortWithinPartitions("g").select("g", "key", "i", "j", "block", "tid", "root", "keys", "sig", "grams")
     last = stored(tasks.mapInArrow(_blocks(coordinates, least, percent), "a long, b long"), "near-links")
     return components(links.unionByName(last))
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80, coordinates: int = 48, miss: float = 1e-6,
-                    rounds: int = 3, block_rows: int = 256, seed: int = 17) -> DataFrame:
+                    rounds: int = 3, block_rows: int = 4096, block_shingles: int = 4_000_000, seed: int = 17) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their sets of ``width``-word shingles; A-Z count as lower case,
@@ -269,7 +317,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         one = bodies.mapInArrow(_first_of_each, "tid long, body string").dropDuplicates(["tid"])
         return one.select("tid", word_hashes("body").alias("w")).mapInArrow(_sets(width), "tid long, grams array<long>")
 
-    roots = node_roots(nodes, sets_of, coordinates, least, percent, rounds, block_rows)
+    roots = node_roots(nodes, sets_of, coordinates, least, percent, rounds, block_rows, block_shingles)
     of = nodes.select(*same, "tid").join(roots.withColumnRenamed("id", "tid"), "tid", "left").select(*same, F.coalesce("root", "tid").alias("root"))
     every = stored(rows.filter("n > 0").select("doc_id", *same).join(of, same), "near-classes")
     smallest = stored(every.groupBy("root").agg(F.min("doc_id").alias("component_id")), "near-smallest")
