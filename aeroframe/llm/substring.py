@@ -13,13 +13,15 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aeroframe.llm.text import flat, in_document, mix, n_words, owner, small_batches, stored, tables, window_hashes, word_hashes, words
+from aeroframe.llm.text import flat, in_document, mix, n_words, owner, small_batches, stored, tables, window_hashes, word_hashes
 
 #: Cells that one merging task holds: 2 ** SEGMENT_BITS.
 SEGMENT_BITS = 22
@@ -171,35 +173,57 @@ def row_marks(at: DataFrame, most_bits: int = 27) -> bytes:
     return out.tobytes()
 
 
-def _marked(marks, wanted: bool):
+def _on(batch: pa.RecordBatch, table: np.ndarray) -> np.ndarray:
+    """Which rows of a batch (hash ``h`` of the row) the bitmap marks."""
+    bits = (len(table) * 8).bit_length() - 1
+    cell = (batch.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    return ((table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1) == 1
+
+
+def _marked(marks):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(marks.value, np.uint8)
+        for b in batches:
+            yield b.filter(pa.array(_on(b, table))).select(["row", "doc_id", "text"])
+    return run
+
+
+OUT = ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"]
+
+
+def _results(keys: pa.Array, n: list[int], removed: list[int], kept: list[bytes]) -> pa.RecordBatch:
+    texts = pc.cast(pa.array(kept, pa.binary()), pa.string(), safe=False)
+    return pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), texts, pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], OUT)
+
+
+def _untouched(marks):
+    """Texts of rows that the bitmap doesn't mark lose nothing: their words, counted and joined, byte by byte."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(marks.value, np.uint8)
-        bits = (len(table) * 8).bit_length() - 1
         for b in batches:
-            cell = (b.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-            on = ((table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1) == 1
-            yield b.filter(pa.array(on == wanted)).select(["row", "doc_id", "text"])
+            b = b.filter(pa.array(~_on(b, table)))
+            # white space of byte strings is the six characters that end a word
+            split = [(t or b"").split() for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield _results(b.column("doc_id"), [len(w) for w in split], [0] * len(split), [b" ".join(w) for w in split])
     return run
 
 
 def _cut(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, removed, digest, kept_text = [], [], [], []
-            for ws, at in zip(b.column("w").to_pylist(), b.column("at").to_pylist(), strict=True):
+            n, removed, kept = [], [], []
+            for text, at in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("at").to_pylist(), strict=True):
+                ws = (text or b"").split()
                 gone = np.zeros(len(ws) + 1, np.int64)
                 if at:
                     p = np.asarray(at, np.int64)
                     np.add.at(gone, p, 1)
                     np.add.at(gone, p + width, -1)
                 keep = np.cumsum(gone)[:-1] == 0
-                out = " ".join([w for w, k in zip(ws, keep, strict=True) if k]) if at else " ".join(ws)
                 n.append(len(ws))
                 removed.append(int(len(ws) - keep.sum()))
-                kept_text.append(out)
-                digest.append(hashlib.sha256(out.encode("utf-8", "surrogatepass")).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept_text, pa.string()), pa.array(digest, pa.string())],
-                                             ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
+                kept.append(b" ".join(compress(ws, keep.tolist()) if at else ws))
+            yield _results(b.column("doc_id"), n, removed, kept)
     return run
 
 
@@ -221,7 +245,6 @@ def remove_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text:
     kind = docs.schema[key].dataType.simpleString()
     marked = docs.sparkSession.sparkContext.broadcast(row_marks(at))
     given = numbered.select("row", "doc_id", "text", F.xxhash64("row").alias("h"))
-    hit = given.mapInArrow(_marked(marked, True), f"row long, doc_id {kind}, text string").join(at, "row", "left").select("doc_id", "text", "at")
-    rest = given.mapInArrow(_marked(marked, False), f"row long, doc_id {kind}, text string").select("doc_id", "text", F.lit(None).cast("array<int>").alias("at"))
     out = "doc_id {}, n_words long, n_removed long, kept_text string, kept_sha256 string".format(kind)
-    return hit.unionByName(rest).select("doc_id", words("text").alias("w"), "at").mapInArrow(_cut(width), out)
+    hit = given.mapInArrow(_marked(marked), f"row long, doc_id {kind}, text string").join(at, "row", "left").select("doc_id", "text", "at")
+    return hit.mapInArrow(_cut(width), out).unionByName(given.mapInArrow(_untouched(marked), out))
