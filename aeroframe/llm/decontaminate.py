@@ -16,11 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aeroframe.llm.text import in_document, owner, small_batches, stored, tables, unused, window_hashes, words
+from aeroframe.llm.text import in_document, owner, range_hashes, small_batches, stored, tables, unused, window_hashes, words
 
 #: Unit words that a re-parameterised question may swap.
 UNITS = ("mm cm m km in ft yd mi g mg kg t lb oz s ms min h hr hrs ml l w kw v a hz khz mhz ghz kb mb gb tb usd eur gbp "
@@ -49,11 +48,21 @@ def template_word(word: str) -> str:
     return UNIT if bare in UNIT_SET else bare
 
 
-class Templates:
-    """64-bit hashes of template words of whole batches; keeps those of at most ``most`` different words for later batches."""
+def template_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hash of ``template_word`` of each word, by Arrow kernels over the whole array."""
+    number = pc.match_substring_regex(words, "[0-9]")
+    letter = pc.match_substring_regex(words, r"\p{L}")
+    name = pc.match_substring_regex(words, r"^\P{L}*\p{Lu}")
+    bare = pc.if_else(letter, pc.utf8_rtrim(words, characters=PUNCTUATION), words)
+    typed = pc.if_else(pc.is_in(bare, value_set=pa.array(UNITS)), pa.scalar(UNIT), bare)
+    out = pc.if_else(number, pa.scalar(NUM), pc.if_else(name, pa.scalar(NAME), typed))
+    at = np.frombuffer(out.buffers()[1], np.int32)[out.offset:out.offset + len(out) + 1].astype(np.int64)
+    raw = np.frombuffer(out.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]
+    return range_hashes(raw, at[:-1] - at[0], at[1:] - at[0])
+
 
-    def __init__(self, most: int = 500_000):
-        self.most, self.known = most, {}
+class Templates:
+    """64-bit hashes of template words of whole batches; a word is templated once for each batch that has it."""
 
     def hashes(self, texts: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if isinstance(texts, pa.ChunkedArray):
@@ -62,14 +71,7 @@ class Templates:
         flat_words, starts = lists.values, lists.offsets.to_numpy().astype(np.int64)
         flat_words, starts = flat_words.slice(starts[0], starts[-1] - starts[0]), starts - starts[0]
         coded = flat_words.dictionary_encode()
-        if len(self.known) > self.most:
-            self.known.clear()
-        own = np.empty(len(coded.dictionary), np.uint64)
-        for i, word in enumerate(coded.dictionary.to_pylist()):
-            h = self.known.get(word)
-            if h is None:
-                h = self.known[word] = xxhash.xxh64_intdigest(template_word(word).encode("utf-8", "surrogatepass"))
-            own[i] = h
+        own = template_hashes(coded.dictionary) if len(coded.dictionary) else np.zeros(0, np.uint64)
         keep = pc.not_equal(pc.binary_length(flat_words), 0).to_numpy(zero_copy_only=False)     # empty strings at the ends of a text
         before = np.concatenate([[0], np.cumsum(keep)])
         return own[coded.indices.to_numpy()][keep], before[starts]
