@@ -168,7 +168,7 @@ def posterior_linear(spark, sf):
     return rounded(out.select("sample_id", (F.round("a_mean", 3) + 0.0).alias("a_mean"), "b_mean", (F.col("a_std") < 0.01).alias("a_sure"), (F.col("b_std") < 0.01).alias("b_sure")), 3)
 
 
-@query(LINE_SQL + """SELECT sample_id, CASE WHEN x_m > 0 THEN 3.0 ELSE 1.0 END AS step_mean, 0.0 AS step_spread, 7.25 AS flat_mean, 0.0 AS flat_spread, true AS inside FROM f""")
+@query(LINE_SQL + """SELECT sample_id, CASE WHEN x_m > 0 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS step_mean, 0.0::DOUBLE AS step_spread, 7.25::DOUBLE AS flat_mean, 0.0::DOUBLE AS flat_spread, true AS inside FROM f""")
 def forest_invariants(spark, sf):
     """One forest for a step and a constant: trees find the step exactly, a constant has no spread; a forest of lift stays within its rows."""
     data = part_dataset(spark, sf).withColumn("step", F.when(F.col("x_m") > 0, 3.0).otherwise(1.0)).withColumn("flat", F.lit(7.25))
