@@ -19,15 +19,17 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aeroframe.llm.components import components
 from aeroframe.llm.ngram_join import _intersections as intersections
 from aeroframe.llm.ngram_join import shingles
-from aeroframe.llm.text import flat, mix, small_batches, stored, tables, unused, word_hashes
+from aeroframe.llm.text import flat, mix, range_hashes, small_batches, stored, tables, unused
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Nodes whose texts are fetched by a broadcast of their keys; more are joined by a shuffle.
+SENT_NODES = 500_000
 
 
 def least_collisions(similarity: float, coordinates: int, miss: float) -> int:
@@ -40,12 +42,26 @@ def least_collisions(similarity: float, coordinates: int, miss: float) -> int:
     return coordinates
 
 
-def lowered(text: str) -> Column:
-    return F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
+def text_key(text: str) -> list[Column]:
+    """Two hashes and the length of a text: equal texts have equal keys."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(whole).alias("k1"), F.shiftleft(F.crc32(F.encode(whole, "UTF-8")), 31).bitwiseXOR(F.octet_length(whole).cast("long")).alias("k2")]
 
 
-def text_key(text: str) -> Column:
-    return F.unhex(F.sha2(lowered(text), 256))
+def word_values(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of each text, A-Z lower-cased, and the starts of the texts; each different word is hashed once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))      # the six characters that end a word
+    words, starts = lists.values, lists.offsets.to_numpy().astype(np.int64)
+    words, starts = words.slice(starts[0], starts[-1] - starts[0]), starts - starts[0]
+    keep = pc.not_equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)      # empty strings at the ends of a text
+    coded = words.dictionary_encode()
+    names = coded.dictionary
+    if not len(names):
+        return np.zeros(0, np.uint64), starts
+    at = np.frombuffer(names.buffers()[1], np.int32)[names.offset:names.offset + len(names) + 1].astype(np.int64)
+    raw = np.frombuffer(names.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]
+    own = range_hashes(raw, at[:-1] - at[0], at[1:] - at[0])
+    return own[coded.indices.to_numpy()][keep], np.concatenate([[0], np.cumsum(keep)])[starts]
 
 
 def _unique(grams: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +78,7 @@ def _signatures(width: int, coordinates: int, seed: int):
         rng = np.random.default_rng(seed)
         mult = rng.integers(0, 2**63, coordinates, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for t in tables(batches):
-            grams, of = _unique(*shingles(*flat(t.column("w")), width))
+            grams, of = _unique(*shingles(*word_values(t.column("body").combine_chunks()), width))
             full, firsts, sizes = np.unique(of, return_index=True, return_counts=True)
             n, s1, s2 = (np.zeros(t.num_rows, np.int64) for _ in range(3))
             sig = np.zeros((len(full), coordinates), np.int64)
@@ -78,8 +94,8 @@ def _signatures(width: int, coordinates: int, seed: int):
             counts = np.zeros(t.num_rows + 1, np.int32)
             counts[full + 1] = coordinates
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(sig.ravel()))
-            yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), t.column("tk").combine_chunks(), pa.array(n), pa.array(s1), pa.array(s2), lists],
-                                             ["doc_id", "tk", "n", "s1", "s2", "sig"])
+            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("doc_id", "k1", "k2")), pa.array(n), pa.array(s1), pa.array(s2), lists],
+                                             ["doc_id", "k1", "k2", "n", "s1", "s2", "sig"])
     return run
 
 
@@ -99,7 +115,7 @@ def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in tables(batches):
-            grams, of = _unique(*shingles(*flat(t.column("w")), width))
+            grams, of = _unique(*shingles(*word_values(t.column("body").combine_chunks()), width))
             starts = np.searchsorted(of, np.arange(t.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([t.column("tid").combine_chunks(), pa.ListArray.from_arrays(pa.array(starts), pa.array(grams.view(np.int64)))], ["tid", "grams"])
     return run
@@ -256,7 +272,7 @@ def _unions(t: pa.Table, coordinates: int, least: int, percent: int, tile: int =
 def node_roots(nodes: DataFrame, sets_of, coordinates: int, least: int, percent: int, rounds: int, block_rows: int, block_shingles: int) -> DataFrame:
     """id, root of every node that has a link; ``sets_of`` gives the full sets of a table of nodes."""
     members = postings(nodes, coordinates, least)
-    sets = stored(sets_of(nodes.join(members.select("tid").distinct(), "tid").select("tid", "tk")), "near-sets")
+    sets = stored(sets_of(nodes.join(members.select("tid").distinct(), "tid").select("tid", "k1", "k2")), "near-sets")
     sig = nodes.select("tid", "n", "sig")
     left = lambda side, df: df.select(*[F.col(c).alias({"tid": side}.get(c, f"{side}_{c}")) for c in df.columns])
     members = members.withColumn("root", F.col("tid"))
@@ -294,7 +310,7 @@ def node_roots(nodes: DataFrame, sets_of, coordinates: int, least: int, percent:
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80, coordinates: int = 48, miss: float = 1e-6,
-                    rounds: int = 3, block_rows: int = 4096, block_shingles: int = 4_000_000, seed: int = 17) -> DataFrame:
+                    rounds: int = 2, block_rows: int = 4096, block_shingles: int = 4_000_000, seed: int = 17) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their sets of ``width``-word shingles; A-Z count as lower case,
@@ -302,20 +318,23 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     tells whether it is the row's own. Null, empty and blank texts have no shingle and no link, and stay. Null ids take part; a
     component of null ids only has a null component_id and keeps its rows. Repeated rows are linked like other equal texts, and rows of
     one id are all kept if it is the smallest. Extra columns are ignored; no rows give no rows. Links are confirmed on full sets, up to
-    equal 64-bit shingle hashes; a pair at the limit is missed with a chance of ``miss`` in its signature, more alike pairs less."""
+    equal 64-bit word and shingle hashes; a pair at the limit is missed with a chance of ``miss`` in its signature, more alike pairs less."""
     small_batches(docs.sparkSession)
     least = least_collisions(percent / 100, coordinates, miss)
-    named = docs.select(F.col(key).alias("doc_id"), text_key(text).alias("tk"), word_hashes(lowered(text)).alias("w"))
+    named = docs.select(F.col(key).alias("doc_id"), *text_key(text), F.col(text).alias("body"))
     kind = named.schema["doc_id"].dataType.simpleString()
-    rows = stored(named.mapInArrow(_signatures(width, coordinates, seed), f"doc_id {kind}, tk binary, n long, s1 long, s2 long, sig array<long>"), "near-rows")
+    rows = stored(named.mapInArrow(_signatures(width, coordinates, seed), f"doc_id {kind}, k1 long, k2 long, n long, s1 long, s2 long, sig array<long>"), "near-rows")
     same = ["s1", "s2", "n"]
-    nodes = rows.filter("n > 0").groupBy(*same).agg(F.min("tk").alias("tk"), F.max("sig").alias("sig"))
-    nodes = stored(nodes.withColumn("tid", F.monotonically_increasing_id()), "near-nodes")
+    # any of the texts of a node has its shingles
+    nodes = rows.filter("n > 0").groupBy(*same).agg(F.min(F.struct("k1", "k2")).alias("k"), F.max("sig").alias("sig"))
+    nodes = stored(nodes.select(*same, "k.k1", "k.k2", "sig").withColumn("tid", F.monotonically_increasing_id()), "near-nodes")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        bodies = docs.select(text_key(text).alias("tk"), lowered(text).alias("body")).join(wanted, "tk").select("tid", "body")
+        wanted = stored(wanted, "near-wanted")
+        few = F.broadcast(wanted) if wanted.count() <= SENT_NODES else wanted
+        bodies = docs.select(*text_key(text), F.col(text).alias("body")).join(few, ["k1", "k2"]).select("tid", "body")
         one = bodies.mapInArrow(_first_of_each, "tid long, body string").dropDuplicates(["tid"])
-        return one.select("tid", word_hashes("body").alias("w")).mapInArrow(_sets(width), "tid long, grams array<long>")
+        return one.mapInArrow(_sets(width), "tid long, grams array<long>")
 
     roots = node_roots(nodes, sets_of, coordinates, least, percent, rounds, block_rows, block_shingles)
     of = nodes.select(*same, "tid").join(roots.withColumnRenamed("id", "tid"), "tid", "left").select(*same, F.coalesce("root", "tid").alias("root"))
