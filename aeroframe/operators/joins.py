@@ -152,7 +152,7 @@ def bracket(points: DataFrame, knots: DataFrame, by: Sequence[str], q: str, x: s
     # a knot at the same place as a query sorts first, so it is the query's left neighbour
     up = Window.partitionBy(*by, "_b").orderBy("_at", F.col("_knot").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*by, "_b").orderBy(F.desc("_at"), F.col("_knot").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
-    near = join_null_safe(both, carry, [*by, "_b"]).select(
+    near = join_null_safe(both, carry, [*by, "_b"], "left").select(
         *by, "_at", "_knot", "n", F.coalesce(F.last("_knot", True).over(up), F.col("_before")).alias("left"),
         F.coalesce(F.last("_knot", True).over(down), F.col("_after")).alias("right"))
     return near.filter(F.col("_knot").isNull()).select(*by, F.col("_at").alias(q), "n", "left", "right")

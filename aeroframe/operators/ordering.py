@@ -25,7 +25,10 @@ CUT_SAMPLE = 0.1
 # --- joins that keep null keys and hot keys safe ---------------------------------------------------
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on ``keys`` where null matches null; the key columns of ``left`` are kept."""
+    """Join on ``keys`` where null matches null; the key columns of ``left`` are kept.
+
+    Rows that all have their line in a table of cells are joined "left": Spark may then send the table to every task, but never the
+    rows, whose size it reads from files and underestimates where values repeat or arrays were exploded."""
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
     if not keys:
         # both sides are whole-table aggregates of exactly one row: a key of 0 that is not folded away
@@ -39,6 +42,13 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def merge_join(left: DataFrame, right: DataFrame, keys: Sequence[str] | str, how: str = "inner") -> DataFrame:
+    """A join whose sides may both be large: sorted and merged, never sent whole to the driver and every task.
+
+    Spark takes a table made by exploding arrays for as small as the file it came from, also after a cut of lineage."""
+    return left.join(right.hint("merge"), keys, how)
+
+
 def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, drop_weight: bool = True) -> DataFrame:
     """Left-join a one-row-per-key ``table`` onto ``rows`` without sending a hot key to one task.
 
@@ -127,7 +137,7 @@ def ordered_counts(df: DataFrame, groups: Sequence[str], value: str, cuts: Seque
     cells = add_bucket(counts, value, cuts)
     offsets = _cell_starts(cells.groupBy(*groups, "_b").agg(F.sum("n").alias("_cell")), groups).drop("_cell")
     within = Window.partitionBy(*groups, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return (join_null_safe(cells, offsets, [*groups, "_b"])
+    return (join_null_safe(cells, offsets, [*groups, "_b"], "left")
             .select(*groups, value, "n",
                     (F.col("_start") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("before"), "total"))
 
@@ -176,8 +186,10 @@ def selected_quantiles(df: DataFrame, groups: Sequence[str], wanted: Mapping[str
         for f in (F.floor, F.ceil):
             one = inside(i, index(q, f), "_start", "_cell")
             here = one if here is None else here | one
-    held = join_null_safe(long, starts.filter(here).drop("_cell"), [*by, "_b"])
-    counts = held.groupBy(*by, "_b", "_v").agg(F.count(F.lit(1)).alias("n"), F.first("_start").alias("_start"), F.first("total").alias("total"))
+    cells = starts.filter(here).drop("_cell")
+    # a semi join can only send the cells to tasks, not the rows
+    held = join_null_safe(long, cells.select(*by, "_b"), [*by, "_b"], "left_semi")
+    counts = join_null_safe(held.groupBy(*by, "_b", "_v").agg(F.count(F.lit(1)).alias("n")), cells, [*by, "_b"], "left")
     within = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.withColumn("before", F.col("_start") + F.coalesce(F.sum("n").over(within), F.lit(0)))
     aggs, outs = [], []
@@ -206,7 +218,7 @@ def rank_in_cells(rows: DataFrame, counted: DataFrame, groups: Sequence[str], va
     starts = _cell_starts(counted.groupBy(*groups, cell).agg(F.count(F.lit(1)).alias("_cell")), groups, cell).drop("_cell")
     within = Window.partitionBy(*groups, cell).orderBy(value)
     ties = F.count(F.lit(1)).over(Window.partitionBy(*groups, cell, value))
-    return (join_null_safe(rows, starts, [*groups, cell])
+    return (join_null_safe(rows, starts, [*groups, cell], "left")
             .withColumn(out, F.col("_start") + F.rank().over(within) + (ties - 1) / 2.0).drop(cell, "_start"))
 
 
@@ -247,7 +259,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence
                   F.sum("_cell").over(Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)),
                   F.lit(0)).alias("_start")))
     within = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (join_null_safe(rows, starts, [*keys, bucket])
+    return (join_null_safe(rows, starts, [*keys, bucket], "left")
             .withColumn(out, F.col("_start") + F.coalesce(F.sum("_val").over(within), F.lit(0)))
             .drop("_val", "_start"))
 
@@ -261,7 +273,7 @@ def row_numbers(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence
                           (F.sum("_cell").over(across.orderBy(bucket)) - F.col("_cell")).alias("_start"),
                           F.sum("_cell").over(across).alias(total or "_total"))
     within = Window.partitionBy(*keys, bucket).orderBy(*order)
-    joined = join_null_safe(df, starts, [*keys, bucket])
+    joined = join_null_safe(df, starts, [*keys, bucket], "left")
     numbered = joined.withColumn(out, F.col("_start") + F.row_number().over(within)).drop("_start")
     return numbered if total else numbered.drop("_total")
 
@@ -278,7 +290,7 @@ def forward_fill(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequenc
     carried = (join_null_safe(every, tails, [*keys, bucket], "left")
                .select(*keys, bucket, F.last("_tail", ignorenulls=True).over(before).alias("_carry")))
     within = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    return (join_null_safe(rows, carried, [*keys, bucket])
+    return (join_null_safe(rows, carried, [*keys, bucket], "left")
             .withColumn(out, F.coalesce(F.last("_val", ignorenulls=True).over(within), F.col("_carry")))
             .drop("_val", "_carry"))
 

@@ -122,3 +122,16 @@ def test_range_join_equals_brute_force(spark):
     have = {(r.id, r.qid) for r in got.select("id", "qid").collect()}
     want = {(i, k) for i, a, b in rows.itertuples(index=False) for k, qa, qb in qs.itertuples(index=False) if abs(a - qa) <= abs(qa) * 0.1 + 0.2 and abs(b - qb) <= 0.1}
     assert have == want and got.count() == len(want)
+
+
+def test_rows_are_never_broadcast_to_their_cells(spark, tmp_path):
+    """Many rows of few values are a small file: Spark must not take them for the small side of a join."""
+    spark.range(200_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 11 / 1.0).alias("v")).write.parquet(str(tmp_path / "few"))
+    rows = spark.read.parquet(str(tmp_path / "few"))
+    cuts = ordering.value_splits(rows, ["v"])
+    for out in (ordering.selected_quantiles(rows, ["g"], {"v": {"m": 0.5}}, cuts), ordering.ordered_counts(rows, ["g"], "v", cuts["v"]),
+                ordering.running_sum(ordering.add_bucket(rows, "v", cuts["v"]), ["g"], "_b", ["v"], F.col("v"), "s"),
+                ordering.rank_in_cells(ordering.add_bucket(rows, "v", cuts["v"]), ordering.add_bucket(rows, "v", cuts["v"]), ["g"], "v", "_b", "r")):
+        assert "BuildLeft" not in out._jdf.queryExecution().sparkPlan().toString()
+    got = ordering.selected_quantiles(rows, ["g"], {"v": {"m": 0.5}}, cuts)
+    assert {(r.g, r.m) for r in got.collect()} == {(0, 5.0), (1, 5.0), (2, 5.0)}
