@@ -187,9 +187,11 @@ def selected_quantiles(df: DataFrame, groups: Sequence[str], wanted: Mapping[str
             one = inside(i, index(q, f), "_start", "_cell")
             here = one if here is None else here | one
     cells = starts.filter(here).drop("_cell")
-    # a semi join can only send the cells to tasks, not the rows
-    held = join_null_safe(long, cells.select(*by, "_b"), [*by, "_b"], "left_semi")
-    counts = join_null_safe(held.groupBy(*by, "_b", "_v").agg(F.count(F.lit(1)).alias("n")), cells, [*by, "_b"], "left")
+    # a left join can only send the cells to tasks, not the rows; rows of other cells fall into one line a group and go after the count
+    held = join_null_safe(long, cells, [*by, "_b"], "left")
+    mine = F.col("_start").isNotNull()
+    counts = (held.groupBy(*by, F.when(mine, F.col("_b")).alias("_b"), F.when(mine, F.col("_v")).alias("_v"))
+              .agg(F.count(F.lit(1)).alias("n"), F.first("_start").alias("_start"), F.first("total").alias("total")).filter(mine))
     within = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.withColumn("before", F.col("_start") + F.coalesce(F.sum("n").over(within), F.lit(0)))
     aggs, outs = [], []
