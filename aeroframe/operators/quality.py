@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aeroframe.functions.physics import is_finite
-from aeroframe.operators.ordering import first_of_duplicates
+from aeroframe.operators.ordering import first_of_duplicates, merge_join
 
 # Hard-check limits, failing share allowed, and the convergence limits per regime
 # (rows, lift deviation, drag deviation, target y+).
@@ -78,7 +78,7 @@ def schema_summary(nodes: DataFrame, triangles: DataFrame) -> DataFrame:
     """Per sample: node and element counts, bounding box and whether every element is a triangle."""
     box = nodes.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_nodes"), *[f(c).alias(f"{c}_{n}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))])
     whole = F.col("n0").isNotNull() & F.col("n1").isNotNull() & F.col("n2").isNotNull()
-    return box.join(triangles.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_triangles"), F.bool_and(whole).alias("triangles_only")), "sample_id", "left")
+    return merge_join(box, triangles.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_triangles"), F.bool_and(whole).alias("triangles_only")), "sample_id", "left")
 
 
 def sample_details(samples: DataFrame, nodes: DataFrame, triangles: DataFrame, n: int = 3) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from aeroframe.functions.physics import WALL_NU, dynamic_pressure
 from aeroframe.operators.joins import likely_in
+from aeroframe.operators.ordering import merge_join
 
 
 def _around() -> tuple:
@@ -36,7 +37,7 @@ def triangles_at(triangles: DataFrame, wall: DataFrame, sparse: bool = False) ->
     corners = triangles.withColumn("node_id", F.explode(F.array("n0", "n1", "n2")))
     if sparse:
         corners = likely_in(corners, wall, ["sample_id", "node_id"])
-    return corners.join(wall.select("sample_id", "node_id"), ["sample_id", "node_id"], "left_semi")
+    return merge_join(corners, wall.select("sample_id", "node_id"), ["sample_id", "node_id"], "left_semi")
 
 
 def wall_gradients(nodes: DataFrame, triangles: DataFrame, wall: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -53,7 +54,7 @@ def wall_gradients(nodes: DataFrame, triangles: DataFrame, wall: DataFrame, keep
     values = nodes.select("sample_id", "node_id", "x", "y", "ux", "uy")
     if keep:
         values = likely_in(values, touching.select("sample_id", F.explode(F.array("n0", "n1", "n2")).alias("node_id")), ["sample_id", "node_id"])
-    valued = corner.join(values, ["sample_id", "node_id"])
+    valued = merge_join(corner, values, ["sample_id", "node_id"])
     aggs = [F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in range(3) for c in ("x", "y", "ux", "uy")]
     tri = valued.groupBy("sample_id", "tri_id").agg(*aggs)
     two_a = ((F.col("x1") - F.col("x0")) * (F.col("y2") - F.col("y0")) - (F.col("x2") - F.col("x0")) * (F.col("y1") - F.col("y0")))
@@ -68,7 +69,7 @@ def wall_gradients(nodes: DataFrame, triangles: DataFrame, wall: DataFrame, keep
     tri = tri.withColumn("two_a", two_a).select(
         "sample_id", "tri_id", (F.abs("two_a") / 2).alias("area"),
         *[slope(u, ax).alias(f"d{u}_d{ax}") for u in ("ux", "uy") for ax in ("x", "y")])
-    at_node = touching.select("sample_id", "tri_id", "node_id").join(tri, ["sample_id", "tri_id"])
+    at_node = merge_join(touching.select("sample_id", "tri_id", "node_id"), tri, ["sample_id", "tri_id"])
     names = ("dux_dx", "dux_dy", "duy_dx", "duy_dy")
     return at_node.groupBy("sample_id", "node_id").agg(
         *[F.try_divide(F.sum(F.col(g) * F.col("area")), F.sum("area")).alias(g) for g in names])
@@ -112,7 +113,7 @@ def wall_shear(nu: float = WALL_NU) -> dict[str, Column]:
 def wall_stress(nodes: DataFrame, triangles: DataFrame, loop: DataFrame, nu: float = WALL_NU, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Loop rows with normals, gradients and the shear vector."""
     grad = wall_gradients(nodes, triangles, loop, keep)
-    return loop_normals(loop).join(grad, ["sample_id", "node_id"]).withColumns(wall_shear(nu))
+    return merge_join(loop_normals(loop), grad, ["sample_id", "node_id"]).withColumns(wall_shear(nu))
 
 
 FORCE_COLUMNS = ("Cd_int_p", "Cd_int_tau", "Cl_int_p", "Cl_int_tau")
@@ -136,7 +137,7 @@ def integrate_forces(wall: DataFrame, samples: DataFrame) -> DataFrame:
     for name, fx, fy in (("p", "_px", "_py"), ("tau", "_tx", "_ty")):
         out.append((2 * (c * F.col(fx) + s * F.col(fy)) / u2).alias(f"Cd_int_{name}"))
         out.append((2 * (c * F.col(fy) - s * F.col(fx)) / u2).alias(f"Cl_int_{name}"))
-    return force.join(samples.select("sample_id", "alpha_rad", "u_inf"), "sample_id").select("sample_id", *out)
+    return merge_join(force, samples.select("sample_id", "alpha_rad", "u_inf"), "sample_id").select("sample_id", *out)
 
 
 def wall_coefficients(u_inf: Column) -> dict[str, Column]:

@@ -15,6 +15,8 @@ from aeroframe.plans import ingest as ingest_plan
 from aeroframe.plans.registry import query, r, rounded, table
 
 AROUND, RINGS = 24, 5
+#: Samples whose meshes one task makes: a row of a few bytes becomes hundreds of nodes and triangles.
+DEALT = 500
 
 MESH_SQL = f"""
 WITH sup AS (SELECT s_suppkey AS sample_id, 0.06 + s_nationkey * 0.002 AS h, s_acctbal / 10000.0 AS b FROM supplier),
@@ -36,8 +38,9 @@ def samples(spark, sf) -> DataFrame:
 
 
 def meshes(spark, sf, around: int = AROUND, rings: int = RINGS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(samples, nodes, triangles) of every supplier."""
+    """(samples, nodes, triangles) of every supplier; samples are dealt out before their meshes are made, as the table may be one file split."""
     sup = samples(spark, sf)
+    sup = sup.repartition(max(spark.sparkContext.defaultParallelism, -(-sup.count() // DEALT)), "sample_id")
     at = sup.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(rings - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(around - 1))))
     c, s = F.cos(2 * F.pi() * F.col("i") / around), F.sin(2 * F.pi() * F.col("i") / around)
     edge = F.greatest(F.abs(c), F.abs(s))

@@ -89,3 +89,21 @@ def test_normals_point_into_the_fluid(spark, reverse):
     assert got.loc[got.x.idxmin()].normal_x < -0.99
     area = wallflow.signed_area(loop).first().area
     assert (area < 0) == reverse and abs(area) == pytest.approx(0.0822, abs=1e-3)
+
+
+def test_meshes_are_dealt_out_and_never_broadcast(spark, sf):
+    """A mesh is made of a row of a few bytes: Spark takes it for small, and one file split would make all meshes."""
+    from aeroframe.plans import queries_mesh, workload
+    assert queries_mesh.meshes(spark, sf)[2].rdd.getNumPartitions() >= 8
+    for name in ("wall_edges", "wall_mask", "wall_gradients", "wall_shear", "wall_forces"):
+        plan = workload.QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan, name
+
+
+def test_filter_of_several_blocks(spark):
+    """A filter larger than a block has the bits of all its keys."""
+    from aeroframe.operators import joins
+    keys = spark.range(300_000).select(F.col("id").alias("s"), (F.col("id") * 3).alias("n"))
+    rows = spark.range(600_000).select(F.col("id").alias("s"), (F.col("id") * 3).alias("n"))
+    got = joins.likely_in(rows, keys, ["s", "n"], 1000)
+    assert got.filter("s < 300000").count() == 300_000 and got.filter("s >= 300000").count() < 15_000
