@@ -138,3 +138,15 @@ def test_drift_medians(spark):
     old = spark.createDataFrame([(1, 1.0, 5.5), (2, 2.5, 6.0), (3, 4.0, 5.0), (5, 9.0, 1.0)], "k long, a double, b double")
     got = {r.column: r for r in joins.snapshot_compare(new, old, "k", ["a", "b"]).collect()}
     assert (got["a"].median_difference, got["b"].median_difference) == (0.5, 0.5) and (got["a"].only_new, got["a"].only_old, got["a"].n_different, got["b"].max_difference) == (1, 1, 2, 1.0)
+
+
+def test_ranges_judge_the_distance_not_the_rounded_ends(spark):
+    """|row - query| <= band, as the pairs are judged: 0.3 - 0.1 rounds below 0.2 and 0.8 + 0.1 above 0.9, the distances do not."""
+    values = [0.1 * i for i in range(12)] + [0.3 - 0.1, 0.8 + 0.1]
+    rows = spark.createDataFrame([(i, v, 1.0) for i, v in enumerate(values)], "id long, x double, v double")
+    asked = spark.createDataFrame([(i, 0.1 * i) for i in range(12)], "q long, q_x double")
+    bands = {"x": ("q_x", F.lit(0.1), 0.1)}
+    want = {i: sum(abs(v - 0.1 * i) <= 0.1 for v in values) for i in range(12)}
+    assert {r.q: r.n for r in joins.range_aggregate(rows, asked, [], bands, "v", "q").collect()} == want
+    pairs = joins.range_join(rows, asked, [], bands).groupBy("q").count().collect()
+    assert {r.q: r["count"] for r in pairs} == want
