@@ -60,6 +60,12 @@ def meshes(spark, sf, around: int = AROUND, rings: int = RINGS) -> tuple[DataFra
     return sup, nodes, tri
 
 
+def parts(spark, sf) -> DataFrame:
+    """Parts, dealt out before their sections are made: the table may be one file split."""
+    p = table(spark, sf, "part").select("p_partkey")
+    return p.repartition(max(spark.sparkContext.defaultParallelism, -(-p.count() // (100 * DEALT))), "p_partkey")
+
+
 def wall_ids(spark, sf) -> DataFrame:
     """Wall nodes of the derived meshes by their rule (the inner ring), for queries that start from a wall."""
     _, nodes, _ = meshes(spark, sf)
@@ -221,7 +227,7 @@ SELECT p_partkey, code, 10 - k AS pos, round(gx - yt * sin(atan(s)), 7) + 0.0 AS
 UNION ALL SELECT p_partkey, code, 10 + k, round(gx + yt * sin(atan(s)), 7) + 0.0, round(yc - yt * cos(atan(s)), 7) + 0.0 FROM y WHERE k BETWEEN 1 AND 9
 """)
 def section_catalogue(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", F.lpad(((F.col("p_partkey") * 7) % 10000).cast("string"), 4, "0").alias("code"))
+    p = parts(spark, sf).select("p_partkey", F.lpad(((F.col("p_partkey") * 7) % 10000).cast("string"), 4, "0").alias("code"))
     out = catalogue.section_coordinates(p, "code", 20).select("p_partkey", "code", "pos", "x", "y")
     return rounded(out, 7)
 
@@ -257,7 +263,7 @@ def symmetric_sections(spark, sf):
 def section_features(spark, sf):
     """Features of every part's section, read from its generated loop."""
     from aeroframe.operators.predict import catalogue_features
-    p = table(spark, sf, "part").select(F.lpad(((F.col("p_partkey") * 7) % 10000).cast("string"), 4, "0").alias("code"))
+    p = parts(spark, sf).select(F.lpad(((F.col("p_partkey") * 7) % 10000).cast("string"), 4, "0").alias("code"))
     return rounded(catalogue_features(p, "code", 101))
 
 

@@ -107,3 +107,9 @@ def test_filter_of_several_blocks(spark):
     rows = spark.range(600_000).select(F.col("id").alias("s"), (F.col("id") * 3).alias("n"))
     got = joins.likely_in(rows, keys, ["s", "n"], 1000)
     assert got.filter("s < 300000").count() == 300_000 and got.filter("s >= 300000").count() < 15_000
+
+
+def test_parts_are_dealt_out_before_sections(spark, sf):
+    from aeroframe.plans import queries_mesh
+    p = queries_mesh.parts(spark, sf)
+    assert p.rdd.getNumPartitions() >= 8 and p.count() == spark.read.parquet(f"{sf}/part.parquet").count()
