@@ -9,6 +9,7 @@ from aeroframe.functions.physics import percent_error
 from aeroframe.operators import compare, joins, predict
 from aeroframe.operators.quality import tolerance_verdict
 from aeroframe.plans.registry import query, r, rounded, table
+from aeroframe.session import written
 
 
 def micros(ts: Column) -> Column:
@@ -33,6 +34,19 @@ def knots_sql(by: str) -> str:
 BETWEEN_SQL = "CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL THEN y0 ELSE y0 + (y1 - y0) / (x1 - x0) * (q - x0) END"
 
 
+#: Users whose points one task makes: each has 120.
+DEALT = 5000
+
+
+def user_points(spark, sf):
+    """120 points in time per user. Users, few bytes, are dealt out before they are listed: one task would make and fold all points.
+
+    They are written first, else Spark may merge the two shuffles by user into one of few partitions."""
+    users = written(table(spark, sf, "events").select("user_id").distinct(), "point-users")
+    dealt = users.repartition(max(spark.sparkContext.defaultParallelism, -(-users.count() // DEALT)), "user_id")
+    return dealt.withColumn("q", F.explode(F.transform(F.sequence(F.lit(0), F.lit(119)), lambda i: i * 21600.0)))
+
+
 @query(f"""
 WITH {knots_sql('user_id')}, q AS (SELECT user_id, unnest(range(0, 120)) * 21600.0::DOUBLE AS q FROM (SELECT DISTINCT user_id FROM events)),
 l AS (SELECT q.user_id, q.q, k.x AS x0, k.y AS y0 FROM q ASOF LEFT JOIN k ON q.user_id = k.user_id AND q.q >= k.x),
@@ -41,8 +55,7 @@ SELECT user_id, q, round({BETWEEN_SQL}, 6) AS y_at FROM b
 """)
 def interpolation_join(spark, sf):
     knots = event_knots(spark, sf, "user_id")
-    points = table(spark, sf, "events").select("user_id").distinct().withColumn("q", F.explode(F.transform(F.sequence(F.lit(0), F.lit(119)), lambda i: i * 21600.0)))
-    return rounded(joins.interpolate(points, knots, ["user_id"], "q", "x", ["y"]))
+    return rounded(joins.interpolate(user_points(spark, sf), knots, ["user_id"], "q", "x", ["y"]))
 
 
 @query(f"""
