@@ -93,9 +93,14 @@ def convergence_gate(spark, sf):
     return quality.convergence(e, ["C"]).select("user_id", "regime", "reason", "converged", "include")
 
 
+#: Parts whose logs one task writes: each has eight lines.
+DEALT = 10_000
+
+
 def check_lines(spark, sf):
-    """One mesh-check log per part."""
-    p = table(spark, sf, "part")
+    """One mesh-check log per part. Parts are dealt out before they have lines: the table may be one file split, and its lines are sorted by file in the task that makes them."""
+    p = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    p = p.repartition(max(spark.sparkContext.defaultParallelism, -(-p.count() // DEALT)), "p_partkey")
     s = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
     body = F.concat_ws("\n", F.lit("Mesh stats"), F.concat(F.lit("    points:           "), s(F.col("p_size") * 7)), F.concat(F.lit("    cells:            "), s(F.col("p_size") * 10)),
                        F.lit("Overall number of cells of each type:"), F.concat(F.lit("    hexahedra:     "), s(F.col("p_size") * 10 - F.when(F.col("p_size") > 40, 1).otherwise(0))),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from aeroframe.plans import queries_joins
+from aeroframe.plans import queries_joins, queries_sources
 
 
 def tasks(df):
@@ -17,3 +17,9 @@ def test_points_of_users_are_made_by_many_tasks(spark, sf, monkeypatch):
     users = queries_joins.table(spark, sf, "events").select("user_id").distinct().count()
     assert seen["points"].count() == 120 * users
     assert tasks(seen["points"]) > 1
+
+
+def test_mesh_check_logs_are_written_by_many_tasks(spark, sf):
+    lines = queries_sources.check_lines(spark, sf)
+    assert lines.count() == 8 * queries_sources.table(spark, sf, "part").count()
+    assert tasks(lines) > 1
