@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from aeroframe.functions import text
 from aeroframe.operators.ordering import forward_fill, lookup_join, row_numbers, running_sum, top_rows
+from aeroframe.session import written
 
 PLACE = ("block", "seq")
 
@@ -74,7 +75,8 @@ def read_zones(lines: DataFrame, strict: bool = True) -> DataFrame:
     title = (F.when(F.contains("line", F.lit("=")), F.regexp_replace(F.trim(F.regexp_extract("line", r"^[^=]*=(.*)$", 1)), '^"+|"+$', "")) if strict
              else F.regexp_extract("line", r'(?i)^\s*zone\s*,\s*t\s*=\s*"([^"]*)"', 1))
     is_names = low.startswith("variables") if strict else F.col("line").rlike(r"(?i)^\s*variables\s*=")
-    marked = kept.filter(~is_names).withColumn("_zone", is_zone)
+    # lines are read, matched and marked once: titles, cells and rows are passes over what is written
+    marked = written(kept.filter(~is_names).select("file", *PLACE, "line", is_zone.alias("_zone")), "zone-lines")
     # only zone lines are numbered: few, whatever the length of a file
     heads = marked.filter("_zone").withColumn("_title", title)
     first = F.row_number().over(Window.partitionBy("file", "_title").orderBy("block", "seq")) == 1

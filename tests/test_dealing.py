@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from aeroframe.plans import queries_joins, queries_sources
+from aeroframe.sources.lines import read_zones
 
 
 def tasks(df):
@@ -23,3 +24,19 @@ def test_mesh_check_logs_are_written_by_many_tasks(spark, sf):
     lines = queries_sources.check_lines(spark, sf)
     assert lines.count() == 8 * queries_sources.table(spark, sf, "part").count()
     assert tasks(lines) > 1
+
+
+def test_zone_lines_are_made_once(spark):
+    """Titles, cells and rows all come from one reading of the lines."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(line):
+        calls.add(1)
+        return line
+
+    text = [("a", 0, 0, 'zone, t="one"'), ("a", 0, 1, "1 2"), ("a", 1, 2, "3 4"), ("a", 1, 3, 'zone, t="two"'), ("a", 1, 4, "5 6")]
+    lines = spark.createDataFrame(text, "file string, block long, seq long, line string").withColumn("line", seen.asNondeterministic()("line"))
+    got = read_zones(lines, strict=False).orderBy("seq").collect()
+    assert [(r.zone, list(r["values"])) for r in got] == [("one", [1.0, 2.0]), ("one", [3.0, 4.0]), ("two", [5.0, 6.0])]
+    assert calls.value == len(text)
