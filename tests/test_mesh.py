@@ -4,7 +4,7 @@ import pytest
 from helpers import code_loops, ring_mesh, strip_mesh
 from pyspark.sql import functions as F
 
-from aeroframe.operators import topology, wallflow
+from aeroframe.operators import section, topology, wallflow
 
 
 def test_boundary_edges_of_strip(spark):
@@ -100,6 +100,24 @@ def test_meshes_are_dealt_out_and_never_broadcast(spark, sf):
         assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan, name
 
 
+def test_errors_of_curves_are_never_broadcast(spark, sf):
+    """Errors and forces of a sample meet by merging: Spark takes both for as small as the table of suppliers."""
+    from aeroframe.plans.queries_models import curve_surface_errors
+    plan = curve_surface_errors(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_loops_are_walked_and_framed_without_pandas(spark):
+    """A wall is so few rows that a pandas frame for each would cost more than its geometry."""
+    edges = spark.createDataFrame([(7, 1, 2), (7, 2, 3), (7, 3, 4), (7, 1, 4)], "sample_id long, a long, b long")
+    loop = topology.chain_loops(edges)
+    frame = section.section_frame(loop.select("sample_id", "pos", "node_id", F.col("pos").cast("double").alias("x"), F.lit(0.0).alias("y")))
+    for df in (loop, frame):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapGroupsInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+    assert [r.node_id for r in loop.orderBy("pos").collect()] == [1, 2, 3, 4]
+
+
 def test_filter_of_several_blocks(spark):
     """A filter larger than a block has the bits of all its keys."""
     from aeroframe.operators import joins
