@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from aeroframe.functions.bands import covered_95
 from aeroframe.functions.grids import N_STATIONS, on_cosine_grid
 from aeroframe.functions.physics import dynamic_pressure, relative_error
-from aeroframe.operators.ordering import exact_quantiles, join_null_safe, merge_join, selected_quantiles, spearman, value_splits
+from aeroframe.operators.ordering import cell_count, exact_quantiles, join_null_safe, merge_join, selected_quantiles, spearman, value_splits
 from aeroframe.operators.resample import station_array
 from aeroframe.session import written
 
@@ -101,7 +101,7 @@ def regression_metrics(df: DataFrame, groups: Sequence[str], true: str, pred: st
         F.count(F.lit(1)).alias("n_test"), r_squared("t", "p").alias("R2"), F.sqrt(F.avg(error * error)).alias("RMSE"),
         F.avg(F.abs(error)).alias("MAE"), F.avg("rel").alias("rel_err_mean"),
         share(F.abs(F.col("mt") - F.col("mp")) <= 2 * F.col("s")).alias("coverage_2sigma"))
-    cuts = value_splits(rows, ["rel", "t", "p"])
+    cuts = value_splits(rows, ["rel", "t", "p"], cell_count(rows))
     out = join_null_safe(base, exact_quantiles(rows, groups, "rel", {"rel_err_median": 0.5}, cuts["rel"]), groups, "left")
     return join_null_safe(out, spearman(rows, groups, "t", "p", cuts=cuts), groups, "left")
 

@@ -20,6 +20,7 @@ MAX_BUCKETS = 16384
 HOT_KEYS = 256          # size bound of the broadcast side in `lookup_join`
 SALTS = 1024
 CUT_SAMPLE = 0.1
+CELL_ROWS = 500_000     # rows of a cell that `cell_count` aims at
 
 
 # --- joins that keep null keys and hot keys safe ---------------------------------------------------
@@ -87,6 +88,11 @@ def bucket_count(df: DataFrame) -> int:
     return max(2, min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def cell_count(df: DataFrame) -> int:
+    """Number of cells for rows that are ranked one by one: as many as partitions, more where cells would exceed ``CELL_ROWS``. Counts the rows."""
+    return min(MAX_BUCKETS, max(bucket_count(df), -(-df.count() // CELL_ROWS)))
+
+
 class Cuts(list):
     """Sorted cut points; ``hot`` is true if some value may hold more than about two cells' share of rows.
 
@@ -211,16 +217,18 @@ def average_ranks(df: DataFrame, groups: Sequence[str], value: str, out: str, cu
         *groups, value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(out), "n", "total")
 
 
-def rank_in_cells(rows: DataFrame, counted: DataFrame, groups: Sequence[str], value: str, cell: str, out: str) -> DataFrame:
+def rank_in_cells(rows: DataFrame, counted: DataFrame, groups: Sequence[str], value: str, cell: str, out: str, cells: int = 0) -> DataFrame:
     """Adds the tie-averaged rank ``out`` and the group size ``total`` to every row.
 
     For columns without hot values (see ``Cuts``): equal values share a cell, so a cell stays small.
-    ``counted`` is any table with the same (group, cell) rows: cells are counted there.
+    ``counted`` is any table with the same (group, cell) rows: cells are counted there. Cells are dealt out over a fixed number of
+    partitions, ``cells`` or more: adaptive ones are merged by their compressed bytes, of which repeated values have next to none.
     """
     starts = _cell_starts(counted.groupBy(*groups, cell).agg(F.count(F.lit(1)).alias("_cell")), groups, cell).drop("_cell")
     within = Window.partitionBy(*groups, cell).orderBy(value)
     ties = F.count(F.lit(1)).over(Window.partitionBy(*groups, cell, value))
-    return (join_null_safe(rows, starts, [*groups, cell], "left")
+    parts = max(cells, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return (join_null_safe(rows, starts, [*groups, cell], "left").repartition(parts, *groups, cell)
             .withColumn(out, F.col("_start") + F.rank().over(within) + (ties - 1) / 2.0).drop(cell, "_start"))
 
 
@@ -232,7 +240,7 @@ def spearman(df: DataFrame, groups: Sequence[str], a: str, b: str, out: str = "s
     """
     groups = list(groups)
     both = df.select(*groups, F.col(a).alias("_va"), F.col(b).alias("_vb")).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    cuts = cuts or value_splits(df, [a, b])
+    cuts = cuts or value_splits(df, [a, b], cell_count(df))
     ca, cb = cuts[a], cuts[b]
     if ca.hot or cb.hot:
         pairs = both.groupBy(*groups, "_va", "_vb").agg(F.count(F.lit(1)).alias("_n"))
@@ -240,8 +248,8 @@ def spearman(df: DataFrame, groups: Sequence[str], a: str, b: str, out: str = "s
         ranked = lookup_join(ranked, average_ranks(both, groups, "_vb", "_rb", cb).drop("total"), [*groups, "_vb"], "n")
     else:
         celled = add_bucket(add_bucket(both, "_va", ca, "_ca"), "_vb", cb, "_cb")
-        ranked = rank_in_cells(celled.withColumn("_n", F.lit(1)), celled, groups, "_va", "_ca", "_ra").drop("total")
-        ranked = rank_in_cells(ranked, celled, groups, "_vb", "_cb", "_rb")
+        ranked = rank_in_cells(celled.withColumn("_n", F.lit(1)), celled, groups, "_va", "_ca", "_ra", len(ca) + 1).drop("total")
+        ranked = rank_in_cells(ranked, celled, groups, "_vb", "_cb", "_rb", len(cb) + 1)
     mid = (F.col("total") + 1) / 2.0
     da, db, n = F.col("_ra") - mid, F.col("_rb") - mid, F.col("_n")
     return (ranked.groupBy(*groups)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from aeroframe.operators import ordering
 from aeroframe.plans import queries_joins, queries_sources
 from aeroframe.sources.lines import read_zones
 
@@ -40,3 +41,20 @@ def test_zone_lines_are_made_once(spark):
     got = read_zones(lines, strict=False).orderBy("seq").collect()
     assert [(r.zone, list(r["values"])) for r in got] == [("one", [1.0, 2.0]), ("one", [3.0, 4.0]), ("two", [5.0, 6.0])]
     assert calls.value == len(text)
+
+
+def test_repeated_values_are_ranked_by_many_tasks(spark):
+    """Cells of repeated values have few compressed bytes but many rows: they are not merged into one task."""
+    rows = spark.range(4000).select(F.lit("g").alias("g"), (F.col("id") % 40).cast("double").alias("v"))
+    cuts = [9.5, 19.5, 29.5]
+    celled = ordering.add_bucket(rows, "v", cuts, "c")
+    ranked = ordering.rank_in_cells(celled, celled, ["g"], "v", "c", "rank", len(cuts) + 1)
+    assert tasks(ranked) > 1
+    got = {r.v: (r["rank"], r.total, r.n) for r in ranked.groupBy("v", "rank", "total").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {float(v): (100 * v + 50.5, 4000, 100) for v in range(40)}
+
+
+def test_cells_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "CELL_ROWS", 100)
+    assert ordering.cell_count(spark.range(2000)) == 20
+    assert ordering.cell_count(spark.range(10)) == 8
