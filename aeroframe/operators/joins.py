@@ -253,6 +253,8 @@ def range_join(rows: DataFrame, queries: DataFrame, by: Sequence[str], bands: Ma
     return _within(left.join(right, keys), bands).drop(*[k for k in keys if k.startswith("_cell")])
 
 
+#: Cells with their sums that are sent to every task; more meet their queries in a merge join.
+SENT_CELLS = 50_000
 #: Pairs that one slice of a cell compares, the rows it holds at most, and the queries that meet its rows at a time.
 SLICE_PAIRS, SLICE_ROWS, CHUNK = 20_000_000, 500_000, 128
 
@@ -298,6 +300,10 @@ def range_aggregate(rows: DataFrame, queries: DataFrame, by: Sequence[str], band
     Cells are ``parts`` times finer than the largest band. Rows are first folded into one line a cell, so a hot cell crosses the
     shuffle once; cells that lie inside a query's bands in every dimension count as wholes, and only the cells on its border
     list their rows. A query without rows has n = 0 and nulls.
+
+    A query reaches hundreds of cells, which Spark takes for as few bytes as the queries: they are made by many tasks and never sent
+    whole to the driver. Cells with their sums, counted, are sent up to ``SENT_CELLS``. Border cells meet their rows in as many
+    partitions as the pairs to compare need, full cells in slices.
     """
     names = list(bands)
     by = list(by)
@@ -309,8 +315,9 @@ def range_aggregate(rows: DataFrame, queries: DataFrame, by: Sequence[str], band
         ok = F.col(c).isNotNull() & ~F.isnan(c)
         keep = ok if keep is None else keep & ok
     left = left.filter(keep)
-    sums = left.groupBy(*by, *cells).agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("total"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    asked = queries.select(F.col(query_id).alias("_q"), *by, *[e for i, c in enumerate(names) for e in (F.col(bands[c][0]).cast("double").alias(f"_at{i}"), bands[c][1].cast("double").alias(f"_band{i}"))])
+    sums = written(left.groupBy(*by, *cells).agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("total"), F.min("_v").alias("lo"), F.max("_v").alias("hi")), "range-sums")
+    how = "broadcast" if sums.count() <= SENT_CELLS else "merge"
+    asked = queries.repartition(rows.sparkSession.sparkContext.defaultParallelism, query_id).select(F.col(query_id).alias("_q"), *by, *[e for i, c in enumerate(names) for e in (F.col(bands[c][0]).cast("double").alias(f"_at{i}"), bands[c][1].cast("double").alias(f"_band{i}"))])
     looked, inner = asked, F.lit(True)
     for i, (c, k) in enumerate(zip(names, cells)):
         lo, hi, slack = F.col(f"_at{i}") - F.col(f"_band{i}"), F.col(f"_at{i}") + F.col(f"_band{i}"), _slack(F.col(f"_at{i}"), F.col(f"_band{i}"))
@@ -318,16 +325,27 @@ def range_aggregate(rows: DataFrame, queries: DataFrame, by: Sequence[str], band
         # a cell strictly between the cells of both ends is inside, whatever rounding does to the ends
         inner = inner & (F.col(k) > F.floor((lo + slack) / width[c])) & (F.col(k) < F.floor((hi - slack) / width[c]))
     looked = looked.withColumn("_inner", inner)
-    whole = looked.filter("_inner").select("_q", *by, *cells).join(sums, [*by, *cells]).select("_q", "n", "total", "lo", "hi")
+    whole = looked.filter("_inner").select("_q", *by, *cells).join(sums.hint(how), [*by, *cells]).select("_q", "n", "total", "lo", "hi")
     within = None
     for i, c in enumerate(names):
         near = F.abs(F.col(c) - F.col(f"_at{i}")) <= F.col(f"_band{i}")
         within = near if within is None else within & near
     # border cells without rows are dropped before rows are listed
-    border = looked.filter(~F.col("_inner")).join(sums.select(*by, *cells), [*by, *cells], "left_semi")
-    listed = left.join(border, [*by, *cells]).filter(within).select("_q", F.lit(1).cast("long").alias("n"), F.col("_v").alias("total"), F.col("_v").alias("lo"), F.col("_v").alias("hi"))
+    keys = [*by, *cells]
+    border = looked.filter(~F.col("_inner")).drop("_inner").join(sums.select(*keys, F.col("n").alias("_n")).hint(how), keys)
+    pairs = F.count(F.lit(1)) * F.first("_n")
+    counted = written(border.groupBy(*keys).agg(pairs.alias("_pairs"), F.greatest(F.ceil(pairs / SLICE_PAIRS), F.ceil(F.first("_n") / SLICE_ROWS)).alias("_slices")), "range-border")
+    compared = counted.agg(F.sum("_pairs")).first()[0] or 0
+    into = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-compared // SLICE_PAIRS))
+    cut = F.broadcast(counted.filter(F.col("_slices") > 1).select(*keys, "_slices"))
+    count = F.coalesce("_slices", F.lit(1).cast("long"))
+    many = left.join(cut, keys, "left").withColumn("_slice", F.pmod(F.xxhash64(*left.columns), count)).drop("_slices")
+    few = border.drop("_n").join(cut, keys, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).drop("_slices")
+    keys = [*keys, "_slice"]
+    met = many.repartition(into, *keys).join(few.repartition(into, *keys).hint("merge"), keys)
+    listed = met.filter(within).select("_q", F.lit(1).cast("long").alias("n"), F.col("_v").alias("total"), F.col("_v").alias("lo"), F.col("_v").alias("hi"))
     found = whole.unionByName(listed).groupBy("_q").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return (asked.select("_q").join(found, "_q", "left").select(F.col("_q").alias(query_id), F.coalesce("n", F.lit(0)).alias("n"), "total", "lo", "hi"))
+    return (asked.select("_q").join(found.hint("merge"), "_q", "left").select(F.col("_q").alias(query_id), F.coalesce("n", F.lit(0)).alias("n"), "total", "lo", "hi"))
 
 
 def best_by_priority(rows: DataFrame, keys: Sequence[str], role: Column, priority: Sequence[str], usable: Column,

@@ -94,3 +94,18 @@ def test_full_cells_meet_their_queries_in_slices(spark, monkeypatch):
     assert sorted((r.id, r.q) for r in paired.collect()) == want
     assert tasks(paired) > 4
     assert joins.range_pairs(rows.limit(0), queries, [], {"x": ("at", F.lit(1.0), 20.0)}).count() == 0
+
+
+def test_cells_of_queries_are_made_by_tasks_and_not_broadcast(spark, monkeypatch):
+    """Queries listed in all cells they reach are many rows from few bytes: no plan sends them, or the rows, whole to the driver."""
+    monkeypatch.setattr(joins, "SLICE_PAIRS", 3000)
+    rows, queries, near = near_inputs(spark, 3000, 400)
+    rows = rows.withColumn("v", F.col("id") % 50 * 1.0)
+    for sent in (joins.SENT_CELLS, 0):
+        monkeypatch.setattr(joins, "SENT_CELLS", sent)
+        got = predict.nearby_summary(rows, queries, 320_000.0, "v", "q")
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join Inner, ") >= 2 and plan.count("strategy=merge") >= (2 if sent else 4)
+        v = np.arange(3000) % 50
+        want = {i: (n.sum(), v[n].sum(), v[n].min(), v[n].max()) if n.any() else (0, None, None, None) for i, n in enumerate(near)}
+        assert {r.q: (r.n, r.total, r.lo, r.hi) for r in got.collect()} == want
